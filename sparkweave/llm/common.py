@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +17,23 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _scratch: list[tuple[SparkSession, str]] = []
 
 
+_shipped: list[object] = []
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Make this library importable in the Python workers of the session."""
+    sc = df.sparkSession.sparkContext
+    if not any(x is sc for x in _shipped):
+        root = Path(__file__).resolve().parents[1]
+        path = Path(tempfile.mkdtemp(prefix="sparkweave-")) / "sparkweave.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(str(path))
+        _shipped[:] = [sc]
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

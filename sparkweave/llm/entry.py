@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, urls
-from .common import read
+from . import exact_dedup, langid, near_dedup, packing, urls
+from .common import crc_mod5, read
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -43,5 +43,26 @@ select page_id, host, path, case {rule} end as rule, case {verdict} when {other}
 """
 
 
-QUERIES = {"op1_exact_dedup": op1_exact_dedup, "op6_url_filter": op6_url_filter}
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.Model(langid.fit(docs.filter(crc_mod5(F.col("doc_id")) != 0)))
+    out = langid.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
+
+
+QUERIES = {
+    "op1_exact_dedup": op1_exact_dedup,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_packing": op4_packing,
+    "op6_url_filter": op6_url_filter,
+    "op7_language_id": op7_language_id,
+}
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": _op6_sql()}
