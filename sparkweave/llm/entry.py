@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, near_dedup, packing, urls
+import corpus_pipeline
+
+from . import decontam, exact_dedup, langid, near_dedup, packing, urls
 from .common import crc_mod5, read
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -58,11 +60,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    found = decontam.find_leaks(docs, items)
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.transform("leaks", lambda x: x["item_id"]).alias("items"),
+        F.size("leaks").alias("n_items"), F.array_min(F.transform("leaks", lambda x: x["distance"])).alias("least_distance"),
+    )
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op4_packing": op4_packing,
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": _op6_sql()}
