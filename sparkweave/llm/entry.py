@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, exact_dedup, langid, near_dedup, packing, urls
+from . import decontam, exact_dedup, langid, near_dedup, packing, suffix, urls
 from .common import crc_mod5, read
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -69,6 +69,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -76,6 +80,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op6_url_filter": _op6_sql()}
