@@ -15,6 +15,8 @@ _INV = pow(BASE, -1, 1 << 64)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Letters only: A-Z lower-cased, every other ASCII byte a space.
+LETTERS = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256)], dtype=np.uint8)
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,9 +77,9 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return (s[end] - s[start]) * powers(inv, n + 1)[start]
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
-    """(word hashes, first byte, end byte, word offsets of each row)."""
-    b = LOWER[data] if lower else data
+def words(data: np.ndarray, off: np.ndarray, table: np.ndarray = LOWER):
+    """(word hashes, first byte, end byte, word offsets of each row); ``table`` folds bytes."""
+    b = table[data]
     n = len(b)
     edge = np.zeros(n + 1, dtype=bool)
     edge[off] = True
