@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, exact_dedup, langid, near_dedup, packing, suffix, toxicity, urls
+from . import decontam, exact_dedup, langid, lm, near_dedup, packing, suffix, toxicity, urls
 from .common import crc_mod5, read
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -80,9 +80,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_mod5(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted", "evidence", F.size("segments").alias("n_segments"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents"), crc_mod5(F.col("doc_id")) == 1)
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_packing": op4_packing,
     "op5_toxicity": op5_toxicity,
     "op6_url_filter": op6_url_filter,
