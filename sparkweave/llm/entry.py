@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import decontam, exact_dedup, langid, lm, near_dedup, packing, suffix, toxicity, urls
+from . import decontam, exact_dedup, langid, linededup, lm, near_dedup, packing, suffix, toxicity, urls
 from .common import crc_mod5, read
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -84,6 +84,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents"), crc_mod5(F.col("doc_id")) == 1)
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.drop_lines(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -93,6 +97,7 @@ QUERIES = {
     "op6_url_filter": op6_url_filter,
     "op7_language_id": op7_language_id,
     "op8_decontamination": op8_decontamination,
+    "op9_line_dedup": op9_line_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
