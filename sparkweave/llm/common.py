@@ -53,10 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
+def cut(df: DataFrame, tag: str, rows: int | None = None, per: int = 250_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives
-    lost executors, and drops the partitioning so that a later join can split skew."""
+    lost executors, and drops the partitioning so that a later join can split skew.
+    ``rows``, a bound on its rows where one is known: tables with few rows for a shuffle's
+    partitions are written by fewer tasks (one for each ``per`` rows, sixteen at least)."""
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(16, -(-rows // per)))
     path = f"{shared_dir(spark)}/sparkweave-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
     _scratch.append((spark, path.rsplit("/", 1)[0]))

@@ -114,7 +114,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bins: int, ro
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have 100 * |A and B| >= percent * |A or B|."""
     t = lambda c, v: texts.select(F.col("node").alias(c), F.col("text").alias(v))
-    both = pairs.join(t("a", "ta"), "a").join(t("b", "tb"), "b").select("a", "b", "ta", "tb")
+    both = pairs.join(t("a", "ta").hint("merge"), "a").join(t("b", "tb").hint("merge"), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,17 +136,18 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
 
 def components(links: DataFrame) -> DataFrame:
     """node, label (the least node of its component) for every node that has a link."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
+    n = links.count()
+    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges", n)
     last = None
     while True:
         # large star: neighbours above u link to the least of u's neighbourhood
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least")
-        large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
+        least = cut(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), "least", n)
+        large = cut(both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large", n)
         # small star: neighbours below u, and u, link to the least of them
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        moved = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low", n)
+        moved = large.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "small", n)
         now = new.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         drop(edges, least, large, low)
         edges = new
@@ -164,34 +165,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row for each (bucket, node); only buckets with two nodes or more go on
     flat = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = cut(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "buckets")
-    members = cut(flat.join(shared, "bucket"), "members")
+    members = cut(flat.join(shared.hint("merge"), "bucket"), "members")
+    n_members = members.count()
     near = members.select("node").distinct()
-    who = nodes.join(near, "node").select("node", F.col("r.doc_id").alias("_id"), F.col("r.tkey").alias("_tkey"))
+    who = nodes.drop("bands").join(near, "node").select("node", F.col("r.doc_id").alias("_id"), F.col("r.tkey").alias("_tkey"))
     data = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), F.col(text_col).alias("text"))
-    texts = cut(data.join(cut(who, "who"), (F.col("tkey") == F.col("_tkey")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
+    texts = cut(data.join(cut(who, "who", n_members).hint("merge"), (F.col("tkey") == F.col("_tkey")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
     if texts.count() > texts.select("node").distinct().count():  # repeated rows
         texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "texts1")
 
     label, links, seen, step = None, None, None, 0
     while True:
         step += 1
-        own = members.withColumn("label", F.col("node")) if label is None else members.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        own = cut(own, "labelled") if label is not None else own
+        own = members.withColumn("label", F.col("node")) if label is None else members.join(label.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        own = cut(own, "labelled", n_members) if label is not None else own
         order = lambda c: F.xxhash64(c, "bucket", F.lit(step))
         centre = own.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.struct(order("label"), order("node"))).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        centre = cut(centre.filter("l0 <> l1").select("bucket", F.col("c.node").alias("c"), F.col("c.label").alias("cl")), "centres")
-        pairs = own.join(centre, "bucket").filter("label <> cl").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        centre = cut(centre.filter("l0 <> l1").select("bucket", F.col("c.node").alias("c"), F.col("c.label").alias("cl")), "centres", n_members)
+        pairs = own.join(centre.hint("merge"), "bucket").filter("label <> cl").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        if not pairs.limit(1).count():
+        pairs = cut(pairs, "pairs", n_members)
+        n_pairs = pairs.count()
+        if not n_pairs:
             break
         seen = pairs if seen is None else seen.unionByName(pairs)
-        new = cut(confirm(pairs, texts, size, percent), "links")
+        new = cut(confirm(pairs, texts, size, percent), "links", n_pairs, 2000)
         if not new.limit(1).count():
             break
         links = new if links is None else links.unionByName(new)
-        label = cut(components(links), "labels")
+        label = cut(components(links), "labels", n_members)
     if label is None:
         return rows_.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "tkey") if not rows_.filter("node is not null").groupBy("node").count().filter("count > 1").limit(1).count() else _result(rows_, None)
     return _result(rows_, label)
@@ -199,12 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _result(rows: DataFrame, label: DataFrame | None) -> DataFrame:
     if label is not None:
-        rows = rows.join(label, "node", "left").withColumn("group", F.coalesce("label", "node"))
+        rows = rows.join(label.hint("merge"), "node", "left").withColumn("group", F.coalesce("label", "node"))
     else:
         rows = rows.withColumn("group", F.col("node"))
     rows = cut(rows.select("doc_id", "tkey", "n_shingles", "group"), "grouped")
     first = cut(rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
-    linked = rows.filter("group is not null").join(first, "group").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "tkey")
+    linked = rows.filter("group is not null").join(first.hint("merge"), "group").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "tkey")
     alone = rows.filter("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "tkey")
     return linked.unionByName(alone)
 
@@ -213,4 +216,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The input's rows and columns without the members of a group but the one of least id."""
     gone = cut(near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct(), "gone")
     out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.join(gone, (F.col("_key") == F.col("_tkey")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    return out.join(gone.hint("merge"), (F.col("_key") == F.col("_tkey")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
