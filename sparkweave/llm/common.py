@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -69,6 +70,13 @@ def cut(df: DataFrame, tag: str, rows: int | None = None, per: int = 250_000) ->
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the plans
+    that made them are garbage, which an idle driver may not notice for half an hour."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for t in tables:

@@ -7,10 +7,13 @@ Every byte covered by a ``width``-byte string that starts anywhere else too is r
    the same offset, so a window can only repeat if its anchor's string repeats.  The windows
    of one anchor occurrence are a run of starts; the bytes they span are its *chunk*.
    Anchors are counted over the corpus: one that occurs once is done; one whose chunk is the
-   same at every occurrence has all its windows repeated; the others are open.
-2. Suffixes.  Only the windows of open anchors are sorted, as suffixes cut at ``width``
-   bytes.  A suffix is spelled in letters of ``width / 8`` bytes, each letter the 64-bit hash
-   of its bytes, so that order and common prefixes are counted in letters.  Each task sorts
+   same at every occurrence has all its windows repeated; the others are open.  A chunk of
+   an open anchor that occurs twice or more has all its windows repeated too; one block of
+   documents, its owner, lends them to the sort on behalf of all.
+2. Suffixes.  What is left, windows in chunks of open anchors that occur once, is sorted
+   together with the lent ones, as suffixes cut at ``width`` bytes.  A suffix is spelled in
+   letters of ``width / 4`` bytes, each letter the 64-bit hash of its bytes, so that order
+   and common prefixes are counted in letters.  Each task sorts
    its suffixes, merges equal ones, and writes front-coded runs: the letters shared with the
    entry before are left out.  A run holds a suffix at most once, so a passage that a third
    of all documents share costs one entry a task.
@@ -19,7 +22,7 @@ Every byte covered by a ``width``-byte string that starts anywhere else too is r
    in two runs, or twice in one, is repeated.
 4. Answers go back to the tasks that asked, and documents are cut.
 
-Equality is that of 64-bit hashes of parts (eight of them for an open window, a 64-bit chunk
+Equality is that of 64-bit hashes of parts (four of them for an open window, a 64-bit chunk
 hash and the anchor's for a closed one), not of bytes.
 
 Defined cases: null counts as empty (0 bytes, nothing removed); texts shorter than ``width``
@@ -39,9 +42,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, drop, ship
+from .common import cut, drop, ship, tidy
 
-LETTERS = 8
+LETTERS = 4
 SEGMENT = 1 << 22
 
 
@@ -208,6 +211,13 @@ def expand(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
+def found_in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted keys."""
+    if not len(keys):
+        return np.zeros(len(x), bool)
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
+
+
 RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,end:bigint>>, kept binary"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 _RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS), ("kept", pa.binary())]
@@ -226,9 +236,10 @@ def result(raw: bytes, first: np.ndarray, end: np.ndarray, keep_text: bool) -> d
     }
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 240, block_bytes: int = 8 << 20, slice_entries: int = 100_000, keep_text: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 320, block_bytes: int = 8 << 20, slice_entries: int = 100_000, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (the remaining bytes if
     ``keep_text``, else null) for every row.  Spans are in bytes of the UTF-8 text."""
+    spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
@@ -251,58 +262,81 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = ship(data.select("b", "block")).mapInArrow(count_anchors, "k bigint, c bigint, block int")
     state = cut(found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("k", (F.col("c0") != F.col("c1")).alias("open")), "state")
-    asked = cut(found.select("k", "block").join(state, "k"), "asked")  # each block's repeated anchors
-    n_open = asked.filter("open").count() * (width - gram + 1) // 2
-    bits = max(4, min(24, (n_open // slice_entries).bit_length()))
+    tidy(spark)
+    hits = cut(found.join(state.hint("merge"), "k"), "hits")
+    drop(state)
+    tidy(spark)
+    open_ = hits.filter("open").select("block", "k", "c")
+    chunks = cut(open_.groupBy("k", "c").agg((F.count(F.lit(1)) > 1).alias("repeats"), F.min("block").alias("owner")), "chunks")
+    asked = open_.join(chunks.hint("merge"), ["k", "c"]).select("block", F.col("c").alias("key"), F.lit(True).alias("open"), "repeats", (F.col("owner") == F.col("block")).alias("lend"))
+    asked = cut(asked.unionByName(hits.filter("not open").select("block", F.col("k").alias("key"), F.lit(False).alias("open"), F.lit(True).alias("repeats"), F.lit(False).alias("lend"))), "asked")
+    n_sent = chunks.count() * (width - gram + 1) // 2
+    bits = max(4, min(24, (n_sent // slice_entries).bit_length()))
+    drop(hits, chunks)
+    tidy(spark)
 
     def judge(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Results of the documents without open windows; text, settled spans and open
-        windows of the others; the block's sorted run of open suffixes, in slices."""
+        windows of the others; the block's sorted run of suffixes, in slices."""
         block = int(key[0].as_py())
-        k = right.column("k").to_numpy().view(np.uint64)
-        k, at = np.unique(k, return_index=True)
-        is_open = np.asarray(right.column("open").to_pylist(), dtype=bool)[at]
-        out, xs, pending = [], [], []
+        keys = right.column("key").to_numpy().view(np.uint64)
+        flag = [np.asarray(right.column(c).to_pylist(), dtype=bool) for c in ("open", "repeats", "lend")]
+        closed = np.unique(keys[~flag[0]])
+        chunk, at = np.unique(keys[flag[0]], return_index=True)
+        repeats, lend = flag[1][flag[0]][at], flag[2][flag[0]][at]
+        lent: set[int] = set()
+        out, xs, weights, pending, n_x = [], [], [], [], 0
         for did, x in zip(left.column("doc_id"), left.column("b"), strict=True):
             raw = x.as_py()
             b = np.frombuffer(raw, np.uint8)
-            lo = hi = opened = np.zeros(0, np.int64)
-            if len(b) >= width and len(k):
-                a, _, first, last, t = anchors(b, width, gram)
-                i = np.minimum(np.searchsorted(k, a), len(k) - 1)
-                hit = k[i] == a
-                op = hit & is_open[i]
-                lo, hi = first[hit & ~op], last[hit & ~op] + width
-                opened = expand(first[op], last[op])
-            if len(opened):
-                xs.append(letters(t, opened, width))
-                pending.append((did.as_py(), raw, lo, hi, opened))
+            lo = hi = p0 = p1 = np.zeros(0, np.int64)
+            if len(b) >= width and len(keys):
+                a, c, first, last, t = anchors(b, width, gram)
+                settled = found_in(closed, a)
+                i = np.minimum(np.searchsorted(chunk, c), max(len(chunk) - 1, 0))
+                is_open = chunk[i] == c if len(chunk) else np.zeros(len(c), bool)
+                if len(chunk):
+                    settled |= is_open & repeats[i]
+                    wait = is_open & ~repeats[i]
+                    p0, p1 = first[wait], last[wait]
+                    for j in np.flatnonzero(is_open & repeats[i] & lend[i]).tolist():
+                        if int(c[j]) not in lent:
+                            lent.add(int(c[j]))
+                            xs.append(letters(t, np.arange(first[j], last[j] + 1), width))
+                            weights.append(np.full(last[j] - first[j] + 1, 2, np.int64))
+                            n_x += len(weights[-1])
+                lo, hi = first[settled], last[settled] + width
+            if len(p0):
+                starts = expand(p0, p1)
+                pending.append((did.as_py(), raw, lo, hi, p0, p1, n_x, len(starts)))
+                xs.append(letters(t, starts, width))
+                weights.append(np.ones(len(starts), np.int64))
+                n_x += len(starts)
             else:
                 out.append({"kind": "final", "doc_id": did.as_py(), **result(raw, lo, hi, keep_text)})
-        if pending:
+        if xs:
             x = np.concatenate(xs)
             order, lcp = sort_suffixes(x)
             new = lcp < LETTERS
-            rank = np.empty(len(x), np.int64)
+            rank = np.empty(len(x), np.int32)
             rank[order] = np.cumsum(new) - 1
             y, lcp = x[order][new], lcp[new]
-            times = np.minimum(np.diff(np.append(np.flatnonzero(new), len(x))), 2).astype(np.uint8)
-            at = 0
-            for did, raw, lo, hi, opened in pending:
-                out.append({"kind": "doc", "doc_id": did, "block": block, "b": raw, "lo": lo.tobytes(), "hi": hi.tobytes(), "starts": opened.tobytes(), "ranks": rank[at : at + len(opened)].tobytes()})
-                at += len(opened)
+            times = np.minimum(np.bincount(rank, weights=np.concatenate(weights)), 2).astype(np.uint8)
+            for did, raw, lo, hi, p0, p1, at, n in pending:
+                out.append({"kind": "doc", "doc_id": did, "block": block, "b": raw, "lo": lo.tobytes(), "hi": hi.tobytes(), "p0": p0.tobytes(), "p1": p1.tobytes(), "ranks": rank[at : at + n].tobytes()})
             of = (y[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True):
                 own = lcp[lo:hi].copy()
                 own[0] = 0
                 out.append({"kind": "run", "block": block, "slice": int(of[lo]), "base": lo, "lcp": own.astype(np.uint8).tobytes(), "rest": front_code(y[lo:hi], own), "times": times[lo:hi].tobytes()})
-        types = [("kind", pa.string()), ("doc_id", left.column("doc_id").type), *_RESULT, ("block", pa.int32()), ("b", pa.binary()), ("lo", pa.binary()), ("hi", pa.binary()), ("starts", pa.binary()), ("ranks", pa.binary()), ("slice", pa.int64()), ("base", pa.int64()), ("lcp", pa.binary()), ("rest", pa.binary()), ("times", pa.binary())]
+        types = [("kind", pa.string()), ("doc_id", left.column("doc_id").type), *_RESULT, ("block", pa.int32()), *((n, pa.binary()) for n in ("b", "lo", "hi", "p0", "p1", "ranks")), ("slice", pa.int64()), ("base", pa.int64()), *((n, pa.binary()) for n in ("lcp", "rest", "times"))]
         return pa.table({n: pa.array([r.get(n) for r in out], t) for n, t in types})
 
-    schema = f"kind string, doc_id {id_type}, {RESULT}, block int, b binary, lo binary, hi binary, starts binary, ranks binary, slice bigint, base bigint, lcp binary, rest binary, times binary"
+    schema = f"kind string, doc_id {id_type}, {RESULT}, block int, b binary, lo binary, hi binary, p0 binary, p1 binary, ranks binary, slice bigint, base bigint, lcp binary, rest binary, times binary"
     judged = cut(ship(data).groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(judge, schema), "judged")
-    drop(state, asked)
+    drop(asked)
+    tidy(spark)
 
     def combine(table: pa.Table) -> pa.Table:
         lcp, rest, times, base = (table.column(c).to_pylist() for c in ("lcp", "rest", "times", "base"))
@@ -319,12 +353,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for x in got:
             yes[x] = True
         out = []
-        for did, raw, *spans in zip(*(left.column(c).to_pylist() for c in ("doc_id", "b", "lo", "hi", "starts", "ranks")), strict=True):
-            lo, hi, starts, ranks = (np.frombuffer(x, np.int64) for x in spans)
-            more = starts[yes[np.minimum(ranks, top + 1)]]
+        for did, raw, *spans in zip(*(left.column(c).to_pylist() for c in ("doc_id", "b", "lo", "hi", "p0", "p1", "ranks")), strict=True):
+            lo, hi, p0, p1 = (np.frombuffer(x, np.int64) for x in spans[:4])
+            more = expand(p0, p1)[yes[np.minimum(np.frombuffer(spans[4], np.int32), top + 1)]]
             out.append({"doc_id": did, **result(raw, np.concatenate([lo, more]), np.concatenate([hi, more + width]), keep_text)})
         return pa.table({n: pa.array([r[n] for r in out], t) for n, t in [("doc_id", left.column("doc_id").type), *_RESULT]})
 
-    rows = judged.filter("kind = 'doc'").select("block", "doc_id", "b", "lo", "hi", "starts", "ranks")
+    rows = judged.filter("kind = 'doc'").select("block", "doc_id", "b", "lo", "hi", "p0", "p1", "ranks")
     late = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(finish, f"doc_id {id_type}, {RESULT}")
     return judged.filter("kind = 'final'").select(*late.columns).unionByName(late)
