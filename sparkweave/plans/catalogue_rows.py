@@ -95,13 +95,13 @@ rows("array_statistics", "embeddings", ["vec_id"], lambda: {
     "std_": (r(v("std", c(_E)), 5), "round(list_stddev_pop(list_transform(embedding, lambda x: x::double)), 5)"), "variance_": (r(v("variance", c(_E)), 5), "round(list_var_pop(list_transform(embedding, lambda x: x::double)), 5)"), "std_sample": (r(v("stdSample", c(_E)), 5), "round(list_stddev_samp(list_transform(embedding, lambda x: x::double)), 5)"), "variance_sample": (r(v("varianceSample", c(_E)), 5), "round(list_var_samp(list_transform(embedding, lambda x: x::double)), 5)"),
     "median_": (r(v("median", c(_E)), 5), "round(list_median(list_transform(embedding, lambda x: x::double)), 5)"), "first_": (r(v("first", c(_E)).cast("double"), 5), "round(embedding[1]::double, 5)"), "last_": (r(v("last", c(_E)).cast("double"), 5), "round(embedding[-1]::double, 5)"),
 })
-_S, _Q = F.col("ws"), "ws"
+_Q = "ws"
 rows("arrays", "documents", ["doc_id"], lambda: {
-    "distinct_": (i(F.size(v("distinct", _S))), f"len(list_distinct({_Q}))"), "sorted": (v("join", v("take", v("sort", _S), 3), "|"), f"array_to_string(list_sort({_Q})[1:3], '|')"), "sorted_desc": (v("join", v("take", v("sortDesc", _S), 3), "|"), f"array_to_string(list_reverse_sort({_Q})[1:3], '|')"),
-    "index_": (i(v("indexOf", _S, "the")), f"coalesce(list_position({_Q}, 'the'), 0)::bigint - 1"), "at_": (v("at", _S, 1), f"{_Q}[2]"), "at_end": (v("at", _S, -1), f"{_Q}[-1]"), "slice_": (v("join", v("slice", _S, 1, 4), "|"), f"array_to_string({_Q}[2:4], '|')"), "reversed": (v("first", v("reverse", _S)), f"{_Q}[-1]"),
-    "includes_": (v("includes", _S, "the"), f"list_contains({_Q}, 'the')"), "compact_": (i(F.size(v("compact", _S))), f"len(list_filter({_Q}, lambda x: x <> ''))"), "drop_": (i(F.size(v("drop", _S, 2))), f"greatest(len({_Q}) - 2, 0)"), "chunks_": (i(F.size(v("chunk", _S, 10))), f"ceil(len({_Q}) / 10.0)::bigint"), "windows_": (i(F.size(v("window", _S, 3))), f"greatest(len({_Q}) - 2, 0)"),
-    "zip_": (i(F.size(v("zip", _S, F.array(F.lit(1), F.lit(2))))), f"least(len({_Q}), 2)"), "range_": (i(F.size(v("range", 2, 10, 3))), "3::bigint"), "both_": (i(F.size(v("intersection", _S, F.array(F.lit("the"), F.lit("of"))))), f"len(list_filter(['the', 'of'], lambda x: list_contains({_Q}, x)))"),
-    "minus_": (i(F.size(v("difference", _S, F.array(F.lit("the"))))), f"len(list_filter(list_distinct({_Q}), lambda x: x <> 'the'))"), "some_": (v("some", _S), f"len(list_filter({_Q}, lambda x: x <> '')) > 0"), "every_": (v("every", _S), f"len(list_filter({_Q}, lambda x: x = '')) = 0"),
+    "distinct_": (i(F.size(v("distinct", c("ws")))), f"len(list_distinct({_Q}))"), "sorted": (v("join", v("take", v("sort", c("ws")), 3), "|"), f"array_to_string(list_sort({_Q})[1:3], '|')"), "sorted_desc": (v("join", v("take", v("sortDesc", c("ws")), 3), "|"), f"array_to_string(list_reverse_sort({_Q})[1:3], '|')"),
+    "index_": (i(v("indexOf", c("ws"), "the")), f"coalesce(list_position({_Q}, 'the'), 0)::bigint - 1"), "at_": (v("at", c("ws"), 1), f"{_Q}[2]"), "at_end": (v("at", c("ws"), -1), f"{_Q}[-1]"), "slice_": (v("join", v("slice", c("ws"), 1, 4), "|"), f"array_to_string({_Q}[2:4], '|')"), "reversed": (v("first", v("reverse", c("ws"))), f"{_Q}[-1]"),
+    "includes_": (v("includes", c("ws"), "the"), f"list_contains({_Q}, 'the')"), "compact_": (i(F.size(v("compact", c("ws")))), f"len(list_filter({_Q}, lambda x: x <> ''))"), "drop_": (i(F.size(v("drop", c("ws"), 2))), f"greatest(len({_Q}) - 2, 0)"), "chunks_": (i(F.size(v("chunk", c("ws"), 10))), f"ceil(len({_Q}) / 10.0)::bigint"), "windows_": (i(F.size(v("window", c("ws"), 3))), f"greatest(len({_Q}) - 2, 0)"),
+    "zip_": (i(F.size(v("zip", c("ws"), F.array(F.lit(1), F.lit(2))))), f"least(len({_Q}), 2)"), "range_": (i(F.size(v("range", 2, 10, 3))), "3::bigint"), "both_": (i(F.size(v("intersection", c("ws"), F.array(F.lit("the"), F.lit("of"))))), f"len(list_filter(['the', 'of'], lambda x: list_contains({_Q}, x)))"),
+    "minus_": (i(F.size(v("difference", c("ws"), F.array(F.lit("the"))))), f"len(list_filter(list_distinct({_Q}), lambda x: x <> 'the'))"), "some_": (v("some", c("ws")), f"len(list_filter({_Q}, lambda x: x <> '')) > 0"), "every_": (v("every", c("ws")), f"len(list_filter({_Q}, lambda x: x = '')) = 0"),
 }, base=lambda d: d.withColumn("ws", F.split("text", " ")), base_sql="string_split(text, ' ') as ws")
 rows("geography", "lineitem", ["l_orderkey", "l_linenumber"], lambda: {
     "km": (r(v("distance", c("l_quantity"), 0, 0, c("l_quantity")), 4), "round(2 * 6371.0 * asin(sqrt(pow(sin(radians(-l_quantity) / 2), 2) + cos(radians(l_quantity)) * pow(sin(radians(l_quantity) / 2), 2))), 4)"),
