@@ -53,7 +53,8 @@ def merge(*ms):
 @verb("pick")
 def pick(m, *names):
     e = F.map_entries(col(m))
-    found = F.flatten(F.array(*[F.filter(e, lambda x, n=n: x["key"] == value_of(n)) for n in names]))
+    of = lambda n: F.filter(e, lambda x: x["key"] == value_of(n))
+    found = F.flatten(F.array(*map(of, names)))
     return of_entries(found)
 
 

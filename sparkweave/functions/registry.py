@@ -36,14 +36,14 @@ def unregister_verb(name: str) -> None:
     CUSTOM.pop(name, None)
 
 
-def call(name: str, *args, custom: bool = False) -> Column:
+def call(name: str, *args, custom: bool = False, **options) -> Column:
     """The column of a verb.  A custom call of an unknown name gives its first argument."""
     f = CUSTOM.get(name) or BUILT_IN.get(name)
     if f is None:
         if custom:
             return col(args[0]) if args else F.lit(None)
         raise KeyError(f"T001: unknown verb {name}")
-    return f(*args)
+    return f(*args, **options)
 
 
 def value_of(x):

@@ -160,9 +160,9 @@ def conditional_aggregates(spark, sf_dir):
     )
 
 
-@query("aggregates", "select l_shipmode_ as k, sum(q) as s, count(*) as n, min(q) as lo, max(q) as hi, round(avg(q), 6) as a, arg_min(q, o) as f, arg_max(q, o) as l from (select l_returnflag || l_linestatus as l_shipmode_, l_quantity as q, l_orderkey * 10 + l_linenumber as o from lineitem) group by 1")
+@query("aggregates", "select l_shipmode_ as k, sum(q) as s, count(*) as n, min(q) as lo, max(q) as hi, round(avg(q), 6) as a, arg_min(q, o) as f, arg_max(q, o) as l from (select l_returnflag || l_linestatus as l_shipmode_, l_quantity as q, (l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey as o from lineitem) group by 1")
 def aggregates(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), c("l_quantity").alias("q"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("o"))
+    d = read(spark, sf_dir, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("k"), c("l_quantity").alias("q"), ((c("l_orderkey") * 10 + c("l_linenumber")) * 10000000 + c("l_partkey")).alias("o"))
     return d.groupBy("k").agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("s"), F.count(F.lit(1)).alias("n"), F.min("q").alias("lo"), F.max("q").alias("hi"), r(F.avg("q")).alias("a"), F.min_by("q", "o").alias("f"), F.max_by("q", "o").alias("l"))
 
 
@@ -290,9 +290,9 @@ def zscore(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(R.zscore("l_quantity", ["l_suppkey"])).alias("z"))
 
 
-@query("mode", "select l_suppkey, l_quantity as mode from (select l_suppkey, l_quantity, row_number() over (partition by l_suppkey order by count(*) desc, min(l_orderkey * 10 + l_linenumber)) as k from lineitem group by 1, 2) where k = 1")
+@query("mode", "select l_suppkey, l_quantity as mode from (select l_suppkey, l_quantity, row_number() over (partition by l_suppkey order by count(*) desc, min((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey)) as k from lineitem group by 1, 2) where k = 1")
 def mode(spark, sf_dir):
-    d = read(spark, sf_dir, "lineitem").withColumn("o", c("l_orderkey") * 10 + c("l_linenumber"))
+    d = read(spark, sf_dir, "lineitem").withColumn("o", (c("l_orderkey") * 10 + c("l_linenumber")) * 10000000 + c("l_partkey"))
     return R.mode_of(d, ["l_suppkey"], "l_quantity", "o")
 
 

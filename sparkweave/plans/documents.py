@@ -16,13 +16,12 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
     both = x.join(y, ["doc", "path"], "full_outer")
     changed = both.filter(F.col("old").isNotNull() & F.col("new").isNotNull() & ~F.col("old").eqNullSafe(F.col("new"))).select("doc", F.lit("changed").alias("op"), "path", F.lit(None).cast("string").alias("from_path"), "new.*")
     w = lambda v: Window.partitionBy("doc", v).orderBy("path")
-    gone = both.filter("new is null").select("doc", F.col("path").alias("from_path"), F.col("old").alias("v"), F.row_number().over(w("old")).alias("k"))
-    came = both.filter("old is null").select("doc", "path", F.col("new").alias("v"), F.row_number().over(w("new")).alias("k"))
-    pair = gone.join(came, (gone["doc"] == came["doc"]) & gone["v"].eqNullSafe(came["v"]) & (gone["k"] == came["k"]), "full_outer")
-    op = F.when(came["path"].isNull(), "removed").when(gone["from_path"].isNull(), "added").otherwise("moved")
+    gone = both.filter("new is null").select(F.col("doc").alias("d0"), F.col("path").alias("p0"), F.col("old").alias("v0"), F.row_number().over(w("old")).alias("k0"))
+    came = both.filter("old is null").select(F.col("doc").alias("d1"), F.col("path").alias("p1"), F.col("new").alias("v1"), F.row_number().over(w("new")).alias("k1"))
+    pair = gone.join(came, (F.col("d0") == F.col("d1")) & F.col("v0").eqNullSafe(F.col("v1")) & (F.col("k0") == F.col("k1")), "full_outer")
+    op = F.when(F.col("p1").isNull(), "removed").when(F.col("p0").isNull(), "added").otherwise("moved")
     moved = pair.select(
-        F.coalesce(gone["doc"], came["doc"]).alias("doc"), op.alias("op"), F.coalesce(came["path"], gone["from_path"]).alias("path"),
-        F.when(op == "moved", gone["from_path"]).alias("from_path"), F.coalesce(came["v"], gone["v"]).alias("v"),
+        F.coalesce("d0", "d1").alias("doc"), op.alias("op"), F.coalesce("p1", "p0").alias("path"), F.when(op == "moved", F.col("p0")).alias("from_path"), F.coalesce("v1", "v0").alias("v"),
     ).select("doc", "op", "path", "from_path", "v.*")
     return changed.unionByName(moved)
 
