@@ -85,6 +85,20 @@ def drop(*tables: DataFrame) -> None:
         _scratch[:] = [x for x in _scratch if x[1] != path]
 
 
+def mark() -> int:
+    """The place in the list of written tables from which ``release`` deletes."""
+    return len(_scratch)
+
+
+def release(since: int, *kept: DataFrame) -> None:
+    """Delete the tables written since ``mark`` but those that the result reads."""
+    stay = {t._sparkweave_path.rsplit("/", 1)[0] for t in kept}
+    for spark, path in _scratch[since:]:
+        if path not in stay:
+            _remove(spark, path)
+    _scratch[since:] = [x for x in _scratch[since:] if x[1] in stay]
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop
+from .common import ascii_lower, cut, drop, mark, release
 
 DIGESTS = ("xxhash64(x)", "sha2(x, 256)")
 
@@ -45,6 +45,7 @@ def _numbered(distinct: DataFrame, *by: str) -> DataFrame:
 def text_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """One row per input row: uid, doc_id, text_sha256, n_bytes, name; rows have equal
     (n_bytes, name) exactly when their normalised texts are equal."""
+    since = mark()
     data = _bytes(docs, id_col, text_col)
     for digest in DIGESTS:
         rows = cut(
@@ -81,7 +82,9 @@ def text_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             named = cut(_numbered(pairs.select("a", "b").distinct(), "a", "b"), "pairs")
             seqs = pairs.join(named, ["a", "b"]).groupBy("uid").agg(F.expr("transform(array_sort(collect_list(struct(i, name))), x -> x.name)").alias("names"))
             longest = (longest + 1) // 2
-    return cut(rows.drop("hs").join(done, "uid"), "identity")
+    out = cut(rows.drop("hs").join(done, "uid"), "identity")
+    release(since, out)
+    return out
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
@@ -97,7 +100,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """The input's rows and columns, one row for each distinct normalised text."""
+    since = mark()
     kept = cut(exact_duplicates(docs, id_col, text_col, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
+    release(since, kept)
     sha = F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)
     out = docs.withColumn("_key", sha)
     out = out.join(kept, (F.col("_key") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")

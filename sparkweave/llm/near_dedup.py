@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, drop, ship
+from .common import cut, drop, mark, release, ship
 
 BINS, ROWS = 128, 4
 
@@ -159,6 +159,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every input row (and tkey, the text's key)."""
+    since = mark()
     all_rows = cut(sketch(docs, id_col, text_col, size, bins, rows), "sketch")
     rows_ = all_rows.select("doc_id", "tkey", "n_shingles", "node")
     nodes = cut(all_rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.min_by("bands", "tkey").alias("bands")), "nodes")
@@ -195,18 +196,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         links = new if links is None else links.unionByName(new)
         label = cut(components(links), "labels", n_members)
-    if label is None:
-        return rows_.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "tkey") if not rows_.filter("node is not null").groupBy("node").count().filter("count > 1").limit(1).count() else _result(rows_, None)
-    return _result(rows_, label)
+    return _result(rows_, label, since)
 
 
-def _result(rows: DataFrame, label: DataFrame | None) -> DataFrame:
+def _result(rows: DataFrame, label: DataFrame | None, since: int) -> DataFrame:
     if label is not None:
         rows = rows.join(label.hint("merge"), "node", "left").withColumn("group", F.coalesce("label", "node"))
     else:
         rows = rows.withColumn("group", F.col("node"))
     rows = cut(rows.select("doc_id", "tkey", "n_shingles", "group"), "grouped")
     first = cut(rows.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
+    release(since, rows, first)
     linked = rows.filter("group is not null").join(first.hint("merge"), "group").select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "tkey")
     alone = rows.filter("group is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "tkey")
     return linked.unionByName(alone)
@@ -214,6 +214,8 @@ def _result(rows: DataFrame, label: DataFrame | None) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """The input's rows and columns without the members of a group but the one of least id."""
+    since = mark()
     gone = cut(near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct(), "gone")
+    release(since, gone)
     out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     return out.join(gone.hint("merge"), (F.col("_key") == F.col("_tkey")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
