@@ -481,6 +481,11 @@ class Compiler:
     def field(self, m: Mapping, scope: dict, errors: list[Column]) -> Column:
         d = m.directives
         c = self.column(m.node, scope)
+        if "field" in d:
+            c = F.get(F.split(text(c), ","), F.lit(int(str(d["field"]).lstrip("#"))))
+        if "pos" in d:
+            at, n = int(str(d["pos"]).lstrip("#")), int(str(d.get("len", 2**30)).lstrip("#"))
+            c = F.substring(text(c), at + 1, n)
         if "trim" in d:
             c = call("trim", c)
         if "default" in d:
@@ -508,6 +513,8 @@ class Compiler:
             say(~text(c).rlike(unquote(str(d["validate"]).strip('"'))), "T013", "no match")
         if "confidential" in d:
             c = F.repeat(F.lit("*"), F.length(text(c))) if self.t.options.get("target.confidential") == "mask" else F.lit(None).cast("string")
+        if "raw" in d:
+            c = F.try_parse_json(text(c))
         if "array" in d:
             c = F.array(c)
         if "if" in d:
@@ -517,6 +524,28 @@ class Compiler:
         return c
 
 
+def failures(outputs: dict[str, DataFrame]) -> DataFrame | None:
+    """document, segment, code, field, message of all errors; a ``fail`` policy is a test
+    that this is empty, ``skip`` is a filter on it."""
+    out = None
+    for name, df in outputs.items():
+        own = df.select(F.col(df.columns[0]).cast("string").alias("document"), F.lit(name).alias("segment"), F.explode("_errors").alias("e")).select("document", "segment", "e.*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def literal_lines(df: DataFrame, template: str) -> DataFrame:
+    """Text lines of each row from a template with ``${field}`` places; nested places are
+    not allowed (T014)."""
+    if re.search(r"\$\{[^}]*\$\{", template):
+        raise TransformError("T014", "nested place")
+    parts, at = [], 0
+    for m in re.finditer(r"\$\{@?([\w.]+)\}", template):
+        parts += [F.lit(template[at : m.start()]), F.coalesce(text(F.col(m[1])), F.lit(""))]
+        at = m.end()
+    return df.select(F.concat(*parts, F.lit(template[at:])).alias("value"))
+
+
 def nested(flat: dict[str, Column]) -> dict[str, Column]:
     """a.b targets as structs."""
     tree: dict = {}

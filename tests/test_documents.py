@@ -88,3 +88,39 @@ def test_writers(spark, tmp_path):
     assert writers.csv_text(d).first()[0] == "AB,WIDGET,5.0" and writers.flat_text(d).first()[0] == "code=AB\nn=5\nname=WIDGET"
     writers.write_csv(d, str(tmp_path / "c"))
     assert readers.read_csv(spark, str(tmp_path / "c")).first() == ("AB", "WIDGET", 5.0)
+
+
+def test_invariants(spark):
+    from sparkweave.plans.invariants import check_invariants
+
+    rows = [("ok", "a", "integer", "3"), ("ok", "b", "number", "1.5"), ("bad", "a", "integer", "1"), ("bad", "b", "number", "1.5"), ("absent", "a", "integer", "1"), ("void", "a", "null", None), ("void", "b", "number", "1")]
+    got = {(r["doc"], r["path"]) for r in check_invariants(long(spark, rows), ["a >= b * 2", "!(a < 0) && (b = 1.5 || b = 1)"]).collect()}
+    assert got == {("bad", "a >= b * 2"), ("void", "a >= b * 2"), ("void", "!(a < 0) && (b = 1.5 || b = 1)")}
+
+
+def test_imports(tmp_path):
+    import pytest
+
+    from sparkweave.plans.imports import ImportProblem, resolve
+
+    def put(n, t):
+        (tmp_path / n).write_text(t)
+        return tmp_path / n
+
+    put("c.txt", "c = ##1\n")
+    put("b.txt", "@import ./c.txt\nb = ##1\n")
+    a = put("a.txt", '@import "./b.txt"\n@import ./c.txt\na = ##1\n')
+    assert [x for x in resolve(a, tmp_path).splitlines() if x] == ["c = ##1", "b = ##1", "a = ##1"]
+    put("x.txt", "@import ./y.txt")
+    put("y.txt", "@import ./x.txt")
+    for name, text, code in (("m.txt", "@import ./none.txt", "I001"), ("o.txt", "@import ../../etc.txt", "I002"), ("e.txt", "@import ./q.py", "I003"), ("z.txt", "@import ./x.txt", "I004")):
+        with pytest.raises(ImportProblem) as e:
+            resolve(put(name, text), tmp_path)
+        assert e.value.code == code
+
+
+def test_exports(spark):
+    from sparkweave.plans.exports import Builder, to_json
+
+    d = Builder("d").set("a.b[0]", 1).set("a.b[1]", 2.5).set("c", True).set("n", None).set("gone", "x").without("gone").frame(spark)
+    assert to_json(d).first()["value"] == '{"a": {"b": [1, 2.5]}, "c": true, "n": null}'

@@ -44,7 +44,7 @@ def test_branches_take_the_first_that_holds(docs):
 
 
 def test_directives_and_errors(docs):
-    t = '{out}\na.b = @x :range 1..5\nc = @missing :required\nd = @missing :default "dd"\ne = @k :integer\nf = "${@k}-${@x}"\ng = %expr "x^2 + 1" @\n' if False else '{out}\na.b = @x :range 1..5\nc = @missing :required\nd = @missing :default "dd"\ne = @k :integer\nf = "${@k}-${@x}"\nh = @x :if @x > ##100\n'
+    t = '{out}\na.b = @x :range 1..5\nc = @missing :required\nd = @missing :default "dd"\ne = @k :integer\nf = "${@k}-${@x}"\nh = @x :if @x > ##100\n'
     r = execute(t, docs, "doc")["out"].first()
     assert r["a"]["b"] == 7 and r["d"] == "dd" and r["e"] is None and r["f"] == "A-7" and r["h"] is None
     assert {(e["code"], e["field"]) for e in r["_errors"]} == {("T013", "a.b"), ("T005", "c"), ("T002", "e")}
@@ -77,3 +77,15 @@ def test_unknown_verb(docs):
     with pytest.raises(TransformError) as e:
         execute("{o}\nx = %noSuchVerb @x\n", docs, "doc")
     assert e.value.code == "T001"
+
+
+def test_text_directives_failures_and_lines(docs):
+    from sparkweave.plans.language import failures, literal_lines
+
+    out = execute('{out}\na = "ab,cd,ef" :field 1\nb = "abcdef" :pos 2 :len 3\nc = @missing :required\n', docs, "doc")
+    r = out["out"].first()
+    assert (r["a"], r["b"]) == ("cd", "cde")
+    assert [(x["segment"], x["code"]) for x in failures(out).collect()] == [("out", "T005")]
+    assert literal_lines(out["out"], "A:${a};${b}").first()[0] == "A:cd;cde"
+    with pytest.raises(TransformError):
+        literal_lines(out["out"], "${a${b}}")

@@ -1,6 +1,7 @@
 """One verb a case: arguments are literals, expectations were worked out by hand."""
 
 import datetime as dt
+import hmac
 import math
 
 import pytest
@@ -39,7 +40,7 @@ CASES = [
     ("dayOfWeek", lambda: ("2024-06-16",), 7), ("weekOfYear", lambda: ("2021-01-03",), 53), ("isLeapYear", lambda: (2000,), True), ("ageFromDate", lambda: ("2000-06-16", "2024-06-15"), 23), ("businessDays", lambda: ("2024-06-14", 1), dt.date(2024, 6, 17)), ("businessDays", lambda: ("2024-06-17", -1), dt.date(2024, 6, 14)), ("businessDays", lambda: ("2024-06-15", 1), dt.date(2024, 6, 17)),
     ("nextBusinessDay", lambda: ("2024-06-14",), dt.date(2024, 6, 17)), ("formatDuration", lambda: ("P1DT2H",), "1 day, 2 hours"), ("formatDuration", lambda: (3661,), "1 hour, 1 minute, 1 second"), ("fromUnix", lambda: (0,), "1970-01-01T00:00:00.000Z"), ("formatLocaleDate", lambda: ("2024-03-05", "de-DE", "long"), "5. März 2024"),
     ("base64Decode", lambda: ("aGk",), "hi"), ("hexDecode", lambda: ("zz",), None), ("urlEncode", lambda: ("a b~",), "a%20b~"), ("urlDecode", lambda: ("%zz",), None), ("crc32", lambda: ("abc",), "352441c2"), ("jsonEncode", lambda: ('a"b',), 'a\\"b'), ("jsonPath", lambda: ('{"a":{"b":[1,2]}}', "a.b[1]"), "2"),
-    ("hmac", lambda: ("m", "k"), "0cc692f85edd5dad1fd7e2dc8b6bf0c8aebb15d98dc5b17ab4c2d7bd1f8dc4f7" if False else __import__("hmac").new(b"k", b"m", "sha256").hexdigest()), ("parseQuery", lambda: ("b=2&a=1&a=3",), {"a": "1", "b": "2"}), ("buildQuery", lambda: (mp(b="2", a="x y"),), "a=x+y&b=2"), ("stableStringify", lambda: (mp(b="2", a="1"),), '{"a":"1","b":"2"}'),
+    ("hmac", lambda: ("m", "k"), hmac.new(b"k", b"m", "sha256").hexdigest()), ("parseQuery", lambda: ("b=2&a=1&a=3",), {"a": "1", "b": "2"}), ("buildQuery", lambda: (mp(b="2", a="x y"),), "a=x+y&b=2"), ("stableStringify", lambda: (mp(b="2", a="1"),), '{"a":"1","b":"2"}'),
     ("keys", lambda: (mp(a=1, b=2),), ["a", "b"]), ("has", lambda: (mp(a=1), "b"), False), ("get", lambda: (mp(a=1), "b", 7), 7), ("merge", lambda: (mp(a=1, b=2), mp(b=3)), {"a": 1, "b": 3}), ("pick", lambda: (mp(a=1, b=2), "b"), {"b": 2}), ("omit", lambda: (mp(a=1, b=2), "b"), {"a": 1}), ("invert", lambda: (mp(a="x"),), {"x": "a"}),
     ("defaults", lambda: (mp(a=1), mp(a=9, c=3)), {"a": 1, "c": 3}), ("renameKeys", lambda: (mp(a=1), {"a": "z"}), {"z": 1}), ("compactObject", lambda: (mp(a="", b="x"),), {"b": "x"}),
     ("distance", lambda: (0, 0, 0, 1), 2 * 6371.0 * math.asin(math.sin(math.radians(0.5)))), ("distance", lambda: (0, 0, 0, 1, "parsec"), None), ("bearing", lambda: (0, 0, 0, 1), 90.0), ("inBoundingBox", lambda: (1, 1, 0, 0, 2, 2), True),
