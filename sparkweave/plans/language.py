@@ -416,7 +416,9 @@ class Compiler:
         return out if default is None else F.coalesce(out, default)
 
     def condition(self, source: str, scope: dict) -> Column:
-        s = source.strip().strip('"')
+        s = source.strip()
+        if s.startswith('"') and s.endswith('"'):
+            s = s[1:-1]
         if s.startswith("%"):
             return truthy(self.column(parse_expression(s)[0], scope))
         m = COMPARE.match(s)
