@@ -56,10 +56,10 @@ mean = %divide @total @n
 """
 
 
-@query("transform_accumulate", f"select doc, round(sum(price), 2) as total, count(*) as n, round(avg(price), 2) as mean from {_LINES} where doc in (select o_orderkey from orders where o_orderstatus = 'F') group by 1")
+@query("transform_accumulate", f"select doc, round(sum(price), 2) as total, count(*) as n, round(avg(price), 7) as mean from {_LINES} where doc in (select o_orderkey from orders where o_orderstatus = 'F') group by 1")
 def transform_accumulate(spark, sf_dir):
     s = execute(TOTALS, order_documents(spark, sf_dir), "doc")["summary"]
-    return s.select("doc", r("total", 2).alias("total"), F.col("n").cast("bigint").alias("n"), r("mean", 2).alias("mean"))
+    return s.select("doc", r("total", 2).alias("total"), F.col("n").cast("bigint").alias("n"), r("mean", 7).alias("mean"))
 
 
 def customer_documents(spark, sf_dir, shifted: bool):
