@@ -7,10 +7,13 @@
    Empty bins copy a bin that is not empty along a fixed random walk of their own (optimal
    densification).  ``bins / rows`` bands are hashed to buckets; with 32 bands of 4 rows a
    pair at similarity 0.75 shares a bucket with probability 1 - 5e-6.
-3. In each bucket the node of least hash is the centre and the others link to it: at most
-   one candidate pair a node and band, and few different ones, because the buckets of one
-   group mostly share their centre.  Each pair is confirmed on the full sets, links are contracted to components, and buckets that still
-   hold several components form stars again, with other centres, until a round adds nothing.
+3. In each bucket one node, the first by a hash order that all buckets share, is the centre and
+   the others link to it: at most one candidate pair a node and band, and few different
+   ones, because the buckets of one group mostly share their centre.  In later rounds the
+   centre is a node of the component that has the most nodes in the bucket, and only the
+   nodes of other components link to it.  Each pair is confirmed on the full sets, links
+   are contracted to components, and buckets that still hold several components form stars
+   again, with other centres, until a round adds nothing.
 4. Components: alternating large-star and small-star, all distributed; every join reads
    plain tables on both sides so that adaptive execution can split hot keys.
 
@@ -180,9 +183,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         step += 1
         own = members.withColumn("label", F.col("node")) if label is None else members.join(label.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
         own = cut(own, "labelled", n_members) if label is not None else own
-        order = lambda c: F.xxhash64(c, F.lit(step))  # noqa: E731  the same in all buckets: a group shares its centres
-        centre = own.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), F.struct(order("label"), order("node"))).alias("c"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-        centre = cut(centre.filter("l0 <> l1").select("bucket", F.col("c.node").alias("c"), F.col("c.label").alias("cl")), "centres", n_members)
+        order = lambda c: F.xxhash64(c, F.lit(step))  # noqa: E731  the same in all buckets
+        if label is None:
+            per = own.select("bucket", "label", "node", F.lit(1).alias("n"))
+        else:
+            per = own.groupBy("bucket", "label").agg(F.min_by("node", order("node")).alias("node"), F.count(F.lit(1)).alias("n"))
+        centre = per.groupBy("bucket").agg(F.max_by(F.struct("node", "label"), F.struct("n", order("label"))).alias("c"), F.count(F.lit(1)).alias("labels"))
+        centre = cut(centre.filter("labels > 1").select("bucket", F.col("c.node").alias("c"), F.col("c.label").alias("cl")), "centres", n_members)
         pairs = own.join(centre.hint("merge"), "bucket").filter("label <> cl").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
