@@ -4,7 +4,7 @@ from collections import defaultdict
 import brute
 import duckdb
 import numpy as np
-from conftest import EDGE
+from cases import EDGE
 from hypothesis import given, settings
 from hypothesis import strategies as st
 

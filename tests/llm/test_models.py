@@ -4,7 +4,7 @@ import zlib
 import brute
 import numpy as np
 import pytest
-from conftest import EDGE, PASSAGE
+from cases import EDGE, PASSAGE
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
