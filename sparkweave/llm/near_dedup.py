@@ -160,6 +160,17 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
+def joined(label: DataFrame | None, new: DataFrame, rows: int) -> DataFrame:
+    """Labels after new links: only the labels that the links join are contracted again."""
+    if label is None:
+        return cut(components(new), "labels", rows)
+    of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")).hint("merge")
+    edges = new.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    up = cut(components(edges.filter("a <> b").distinct()), "joined", rows)
+    moved = label.join(up.select(F.col("node").alias("label"), F.col("label").alias("to")).hint("merge"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return cut(moved.unionByName(up.join(label.select("node").hint("merge"), "node", "left_anti").select("node", "label")), "labels", rows)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every input row (and tkey, the text's key)."""
     since = mark()
@@ -178,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if texts.count() > texts.select("node").distinct().count():  # repeated rows
         texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "texts1")
 
-    label, links, seen, step = None, None, None, 0
+    label, seen, step = None, None, 0
     while True:
         step += 1
         own = members.withColumn("label", F.col("node")) if label is None else members.join(label.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
@@ -201,8 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = cut(confirm(pairs, texts, size, percent), "links", n_pairs, 2000)
         if not new.limit(1).count():
             break
-        links = new if links is None else links.unionByName(new)
-        label = cut(components(links), "labels", n_members)
+        label = joined(label, new, n_members)
     return _result(rows_, label, since)
 
 

@@ -115,3 +115,23 @@ def test_line_templates():
     lines = [(k, f"user {n} logged in from place {p}".split(), 2, k, k + 100) for k, (n, p) in enumerate([("ann", "x"), ("bob", "y"), ("cid", "z")])]
     assert sorted(linededup.parse([*lines, (9, "some quite different line of same length".split(), 9, 1, 2)], 0.7, 5)) == [0, 1, 2]
     assert linededup.parse(lines, 0.9, 5) == []
+
+
+def test_components_of_links_that_come_in_rounds(spark):
+    rng = np.random.default_rng(4)
+    root = list(range(60))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    label = None
+    for n in (20, 12, 6):
+        pairs = rng.integers(0, 60, (n, 2)).tolist()
+        for a, b in pairs:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        new = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in pairs if a != b], "a binary, b binary")
+        label = near_dedup.joined(label, new, 100)
+    got = {r["node"][0]: r["label"][0] for r in label.collect()}
+    assert got == {x: find(x) for x in got} and all(x in got or find(x) == x for x in range(60))
