@@ -11,10 +11,14 @@
    the others link to it: at most one candidate pair a node and band, and few different
    ones, because the buckets of one group mostly share their centre.  In later rounds the
    centre is a node of the component that has the most nodes in the bucket, and only the
-   nodes of other components link to it.  Each pair is confirmed on the full sets, links
-   are contracted to components, and buckets that still hold several components form stars
-   again, with other centres, until a round adds nothing.
-4. Components: alternating large-star and small-star, all distributed; every join reads
+   nodes of other components link to it.  Each pair is confirmed on the full sets and links
+   are contracted to components.  Stars only shrink the buckets: they end when a round adds
+   few links.
+4. Every bucket that still holds several components is finished exactly: all its pairs of
+   nodes of different components that were not compared yet are confirmed, but those whose
+   set sizes rule a link out.  So every pair of nodes that shares a bucket is compared or in
+   one component.
+5. Components: alternating large-star and small-star, all distributed; every join reads
    plain tables on both sides so that adaptive execution can split hot keys.
 
 Defined cases: null or empty text, or text without words: n_shingles 0, linked with nothing,
@@ -36,6 +40,8 @@ from . import words as W
 from .common import cut, drop, mark, release, ship
 
 BINS, ROWS = 128, 4
+#: Stars end when fewer than one in so many of their pairs is a link.
+FEW = 50
 
 _walks: dict[int, np.ndarray] = {}
 
@@ -171,29 +177,47 @@ def joined(label: DataFrame | None, new: DataFrame, rows: int) -> DataFrame:
     return cut(moved.unionByName(up.join(label.select("node").hint("merge"), "node", "left_anti").select("node", "label")), "labels", rows)
 
 
+def rest(own: DataFrame, percent: int, rows: int, block: int = 500) -> DataFrame:
+    """All pairs (a, b) of nodes that share a bucket under different labels and whose sizes
+    allow a link, from rows (bucket, node, size, label).  The nodes outside a bucket's most
+    frequent label meet all others; they are dealt to blocks of about ``block``."""
+    per = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+    top = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
+    top = cut(top.select("bucket", "top", F.ceil(F.col("others") / block).cast("int").alias("blocks")), "tops", rows)
+    left = cut(own.join(top.hint("merge"), "bucket"), "open", rows)
+    one = cut(left.filter("label <> top").select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx")), "one", rows)
+    all_ = cut(left.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("size").alias("sy"), F.col("label").alias("ly"), "top"), "all")
+    both = one.join(all_.hint("merge"), ["bucket", "block"]).filter((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")))
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every input row (and tkey, the text's key)."""
     since = mark()
     all_rows = cut(sketch(docs, id_col, text_col, size, bins, rows), "sketch")
     rows_ = all_rows.select("doc_id", "tkey", "n_shingles", "node")
-    nodes = cut(all_rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.min_by("bands", "tkey").alias("bands")), "nodes")
+    nodes = cut(all_rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "tkey")).alias("r"), F.min_by("bands", "tkey").alias("bands"), F.max("n_shingles").alias("size")), "nodes")
     # one row for each (bucket, node); only buckets with two nodes or more go on
-    flat = nodes.select("node", F.explode("bands").alias("bucket"))
+    flat = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = cut(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket"), "buckets")
     members = cut(flat.join(shared.hint("merge"), "bucket"), "members")
     n_members = members.count()
     near = members.select("node").distinct()
-    who = nodes.drop("bands").join(near, "node").select("node", F.col("r.doc_id").alias("_id"), F.col("r.tkey").alias("_tkey"))
+    who = nodes.drop("bands", "size").join(near, "node").select("node", F.col("r.doc_id").alias("_id"), F.col("r.tkey").alias("_tkey"))
     data = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tkey"), F.col(text_col).alias("text"))
     texts = cut(data.join(cut(who, "who", n_members).hint("merge"), (F.col("tkey") == F.col("_tkey")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("node", "text"), "texts")
     if texts.count() > texts.select("node").distinct().count():  # repeated rows
         texts = cut(texts.groupBy("node").agg(F.min("text").alias("text")), "texts1")
 
+    def labelled(label: DataFrame | None) -> DataFrame:
+        if label is None:
+            return members.withColumn("label", F.col("node"))
+        return cut(members.join(label.hint("merge"), "node", "left").select("bucket", "node", "size", F.coalesce("label", "node").alias("label")), "labelled", n_members)
+
     label, seen, step = None, None, 0
     while True:
         step += 1
-        own = members.withColumn("label", F.col("node")) if label is None else members.join(label.hint("merge"), "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        own = cut(own, "labelled", n_members) if label is not None else own
+        own = labelled(label)
         order = lambda c: F.xxhash64(c, F.lit(step))  # noqa: E731  the same in all buckets
         if label is None:
             per = own.select("bucket", "label", "node", F.lit(1).alias("n"))
@@ -210,9 +234,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         seen = pairs if seen is None else seen.unionByName(pairs)
         new = cut(confirm(pairs, texts, size, percent), "links", n_pairs, 2000)
-        if not new.limit(1).count():
+        n_new = new.count()
+        if n_new:
+            label = joined(label, new, n_members)
+        if FEW * n_new < n_pairs:
             break
-        label = joined(label, new, n_members)
+    if seen is not None:  # what no centre showed
+        pairs = cut(rest(labelled(label), percent, n_members).join(seen, ["a", "b"], "left_anti"), "pairs")
+        n_pairs = pairs.count()
+        new = cut(confirm(pairs, texts, size, percent), "links", n_pairs, 2000)
+        if new.limit(1).count():
+            label = joined(label, new, n_members)
     return _result(rows_, label, since)
 
 

@@ -62,6 +62,22 @@ def test_near_brute(spark, sf):
     assert got == want
 
 
+def test_near_links_of_small_components_in_crowded_buckets(spark):
+    """Groups of six near copies whose two buckets also hold a pair of near copies of its own."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(12):
+        word = lambda n, g=g: " ".join(f"g{g}w{x}" for x in rng.integers(0, 10**6, n))
+        shared, big, small = word(60), word(30), word(30)
+        texts = [f"{shared} {big} {k}" for k in range(6)] + [f"{shared} {small} {k}" for k in range(2)]
+        rows += [(8 * g + k, t) for k, t in enumerate(texts)]
+    want = {rows[k][0]: rows[ms[0]][0] for k, (_, ms) in enumerate(brute.near(rows))}
+    assert len(set(want.values())) == 24
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, bins=2, rows=1).collect()}
+    assert got == want
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (8, 40, 400):
