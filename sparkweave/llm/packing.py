@@ -1,9 +1,8 @@
 """Packing: optimal length buckets and token-budget batches.
 
 1. Token counts (words [^\\x20\\x09-\\x0D]+, or any length column) and their global
-   histogram, the only thing that comes to the driver.  When the longest text has more than
-   ``max_bins`` tokens, lengths are rounded up to a common step, so that the histogram has
-   at most ``max_bins`` rows at any input size.
+   histogram, the only thing that comes to the driver: one row for each different length,
+   of which there are at most sqrt(2 * tokens).
 2. Dynamic programming over the histogram picks at most ``n_buckets`` upper bounds with the
    least total padding (monotone hull, O(buckets * bins)).
 3. In each bucket, documents in hash order fill batches of ``budget // bound`` rows (one at
@@ -77,14 +76,12 @@ def bucket_bounds(hist: dict[int, int], n_buckets: int) -> list[int]:
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, n_buckets: int = 12, budget: int = 16384, max_bins: int = 8192, shard_rows: int = 20000) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, n_buckets: int = 12, budget: int = 16384, shard_rows: int = 20000) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, padding, batch_id, slot, batch_docs."""
     n = F.coalesce(F.col(length_col).cast("int"), F.lit(0)) if length_col else word_count(F.col(text_col))
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens"), F.xxhash64(F.col(id_col), F.lit(1)).alias("h")), "lengths")
-    stats = rows.agg(F.count(F.lit(1)).alias("rows"), F.max("n_tokens").alias("most")).first()
-    step = max(1, -(-(stats["most"] or 0) // max_bins))
-    binned = (F.ceil(F.col("n_tokens") / step) * step).cast("int")
-    hist = {r["k"]: r["count"] for r in rows.groupBy(binned.alias("k")).count().collect()}
+    stats = rows.agg(F.count(F.lit(1)).alias("rows")).first()
+    hist = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}
     bounds = bucket_bounds(hist, n_buckets) or [0]
     shards = max(1, -(-stats["rows"] // shard_rows))
     bucket = F.lit(len(bounds) - 1)
