@@ -1,7 +1,8 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
 A rule is (name, verdict, regex, literal tokens).  Each rule is filed under the one of its
-literal tokens that the corpus has in the fewest URLs (no URL that lacks it can match).  A
+literal tokens that the corpus has in the fewest URLs (no URL that lacks it can match:
+tokens are runs of letters or of digits, so ``casino24`` holds the token ``casino``).  A
 URL fetches the rules filed under its own tokens, and only those run their expression.
 Domain rules (host, path, verdict) are compiled to the same form; the longest that fits
 gives ``rule`` and ``verdict``; otherwise the pattern rules decide, block before allow, and
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
+TOKEN = "[a-z]+|[0-9]+"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -53,11 +56,11 @@ PATTERN_RULES = (
 def domain_rule(verdict: str, host: str, path: str) -> Rule:
     rx = rf"(?s)^(?:.*\.)?{re.escape(host)} {re.escape(path)}"
     whole = path.lower()[: len(path) - len(re.search("[A-Za-z0-9]*$", path)[0])]  # a token cut by the rule's end isn't whole in the URL
-    return Rule(host + path, verdict, rx, tuple(t for t in re.split("[^a-z0-9]+", host + " " + whole) if t), len(host + path))
+    return Rule(host + path, verdict, rx, tuple(re.findall(TOKEN, host + " " + whole)), len(host + path))
 
 
 def pattern_rule(verdict: str, tokens: tuple[str, ...], regex: str) -> Rule:
-    return Rule(regex, verdict, regex, tokens, 0)
+    return Rule(regex, verdict, regex, tuple(re.findall(TOKEN, " ".join(tokens))), 0)
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -87,7 +90,7 @@ def filter_urls(pages: DataFrame, domain_rules=DOMAIN_RULES, pattern_rules=PATTE
     mine = ["_url", "_tokens", "_hits", "host", "path", "rule", "verdict", "n_candidates"]
     kept = [c for c in pages.columns if c not in mine]
     base = pages.select(*kept, host.alias("host"), path.alias("path"), low.alias("_url"))
-    tokens = F.array_distinct(F.split("_url", "[^a-z0-9]+"))
+    tokens = F.array_distinct(F.regexp_extract_all("_url", F.lit(TOKEN), F.lit(0)))
     index = rule_index(base, rules, tokens)
     entry = lambda r: F.struct(
         F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.regex).alias("regex")
