@@ -171,17 +171,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in batches:
-            ns, ys, ss = [], b.column(1).to_pylist(), []
+            ns, ys, top = [], b.column(1).to_pylist(), []
             for s, y in zip(slots(b.column(0), bits), ys, strict=True):
                 ns.append(len(s))
-                ss.append(sorted((x[0] for x in segments(m.odds(s, y))), reverse=True)[:16])
-            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(ys, pa.int32()), pa.array(ss, pa.list_(pa.float32()))], names=["n", "y", "s"])
+                top.append(max((x[0] for x in segments(m.odds(s, y))), default=0.0))
+            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int32()), pa.array(ys, pa.int32()), pa.array(top, pa.float64())], names=["n", "y", "top"])
 
-    seen = rows.mapInArrow(best, "n int, y int, s array<float>").toPandas()  # max_train rows of a few numbers
+    seen = rows.mapInArrow(best, "n int, y int, top double").toPandas()  # max_train rows of three numbers
     clean = seen[(seen.y == 0) & (seen.n > 0)]
-    model.lam, model.k = fit_extremes(clean.n.to_numpy(float), np.array([s[0] if len(s) else 0.0 for s in clean.s]))
-    x = np.array([model.evidence(n, list(s)) for n, s in zip(seen.n, seen.s, strict=True)])
-    model.a, model.b = fit_logistic(np.log1p(x), seen.y.to_numpy(float))
+    model.lam, model.k = fit_extremes(clean.n.to_numpy(float), clean.top.to_numpy(float))
+    fitted = docs.sparkSession.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = fitted.value
+        for b in batches:
+            ys = b.column(1).to_pylist()
+            ev = [m.evidence(len(s), [x[0] for x in segments(m.odds(s, y))]) for s, y in zip(slots(b.column(0), bits), ys, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(ev, pa.float64())], names=["y", "evidence"])
+
+    seen = rows.mapInArrow(weigh, "y int, evidence double").toPandas()  # max_train rows of two numbers
+    model.a, model.b = fit_logistic(np.log1p(seen.evidence.to_numpy(float)), seen.y.to_numpy(float))
     return model
 
 
@@ -199,7 +208,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for s in slots(b.column(1), m.bits):
                 all_ = segments(m.odds(s))
                 least = np.log(max(m.k * max(len(s), 1), 1e-300))
-                ev.append(m.evidence(len(s), sorted((x[0] for x in all_), reverse=True)[:16]))
+                ev.append(m.evidence(len(s), [x[0] for x in all_]))
                 ns.append(len(s))
                 found.append([{"first": f, "end": e, "score": v} for v, f, e in all_ if m.lam * v > least])
             p = m.probability(np.array(ev, dtype=float))
