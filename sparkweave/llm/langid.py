@@ -2,7 +2,8 @@
 
 A language is a zstandard raw-content dictionary: whole training texts of that language
 put end to end, most frequent language first.  Texts and dictionaries are folded to
-lower-case letters and single spaces.  A text goes to the language whose dictionary compresses it to the fewest
+lower-case letters and single spaces; long texts are compressed in pieces, each with the
+dictionary, and the sizes added.  A text goes to the language whose dictionary compresses it to the fewest
 bytes; it is rejected when the best and the second best are closer than ``margin`` (as a
 share of the best size) or when it has no letter.  Where sizes are nearly equal (texts of a
 few words, or of one word again and again), the bytes of the text's words that are matched
@@ -33,6 +34,8 @@ from pyspark.sql import types as T
 from .common import ship
 
 LEVEL = 3
+#: Bytes of a text that are compressed at a time: with the dictionary they fit the window.
+PIECE = 1 << 19
 #: Sizes closer than this are told apart by the words that the dictionaries share with the text.
 NARROW = 0.05
 
@@ -106,7 +109,8 @@ class Model:
                 d = zstandard.ZstdCompressionDict(self.dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 self._made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-        return [len(c.compress(text)) for c in self._made]
+        pieces = [text[i : i + PIECE] for i in range(0, max(len(text), 1), PIECE)]
+        return [sum(len(c.compress(p)) for p in pieces) for c in self._made]
 
     def judge(self, text: bytes) -> tuple[str, float, float]:
         """(language, score, margin).  The score is the share of the best language when
