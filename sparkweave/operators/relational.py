@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import predicate
 from ..functions.registry import col
 from ..functions.scalar import num, text, truthy
+from ..storage import settle
 
 #: A lookup table up to this many bytes of rows is broadcast; a larger one is shuffled.
 BROADCAST_BYTES = 64 << 20
@@ -70,10 +71,23 @@ def skip(df: DataFrame, order, n: int) -> DataFrame:
 
 
 def slice_rows(df: DataFrame, order, start: int, end: int | None) -> DataFrame:
-    """Rows start..end of the order, half-open."""
+    """Rows start..end of the order, half-open.  Without an end, rows are numbered by
+    ranges: an offset alone would move the whole table into one task."""
     if end is not None:
         return top(df, order, end).orderBy(*_names(order)).offset(start)
-    return df.orderBy(*_names(order)).offset(start)
+    return numbered(df, order, "_at").filter(F.col("_at") > start).drop("_at")
+
+
+#: Bits of monotonically_increasing_id that number the rows of a partition.
+ROW_BITS = 33
+
+
+def _ranged(df: DataFrame, order) -> DataFrame:
+    """``df`` in sorted ranges, written once, with ``_p``, the range, and ``_i``, the row's
+    place in it.  Both are fixed by the write: two plans over two exchanges need not agree
+    on the ranges."""
+    at = settle(df.repartitionByRange(*_names(order)).sortWithinPartitions(*_names(order)).withColumn("_m", F.monotonically_increasing_id()), "ranges")
+    return at.select(*df.columns, F.shiftright("_m", ROW_BITS).alias("_p"), F.col("_m").bitwiseAND(F.lit((1 << ROW_BITS) - 1)).alias("_i"))
 
 
 def numbered(df: DataFrame, order, name: str = "_rowNum", partition_by: Sequence[str] = ()) -> DataFrame:
@@ -81,9 +95,9 @@ def numbered(df: DataFrame, order, name: str = "_rowNum", partition_by: Sequence
     range, and shifted by the exact sizes of the ranges before."""
     if partition_by:
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*partition_by).orderBy(*_names(order))).cast("bigint"))
-    ranged = df.repartitionByRange(*_names(order)).withColumn("_p", F.spark_partition_id())
-    own = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*_names(order))))
-    return own.join(_offsets(ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_t"))), "_p").withColumn(name, (F.col("_i") + F.col("_o")).cast("bigint")).drop("_p", "_i", "_o")
+    own = _ranged(df, order)
+    offsets = _offsets(own.groupBy("_p").agg(F.count(F.lit(1)).alias("_t")))
+    return own.join(offsets, "_p").select(*[c for c in df.columns if c != name], (F.col("_i") + F.col("_o") + 1).cast("bigint").alias(name))
 
 
 def _offsets(totals: DataFrame) -> DataFrame:
@@ -92,6 +106,69 @@ def _offsets(totals: DataFrame) -> DataFrame:
     return F.broadcast(totals.select("_p", F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_o")))
 
 
+def prefix_sum(df: DataFrame, value: Column, order, name: str) -> DataFrame:
+    """The sum of ``value`` over all rows up to each: totals of ranges, then offsets."""
+    own = _ranged(df.withColumn("_v", value), order)
+    w = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = _offsets(own.groupBy("_p").agg(F.sum("_v").alias("_t")))
+    return own.withColumn("_own", F.sum("_v").over(w)).join(offsets, "_p").select(*[c for c in df.columns if c != name], (F.col("_own") + F.col("_o")).alias(name))
+
+
+def _counted(df: DataFrame, keys: Sequence[str], value: str, descending: bool) -> DataFrame:
+    """Each (keys, value) once: _n rows, _b rows of smaller values in its group, _t rows of
+    the group.  Rows are counted before the shuffle, so a hot group costs its distinct
+    values, and these are spread over ranges."""
+    n = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    c = prefix_sum(n, F.col("_n"), [*keys, F.desc(value) if descending else F.asc(value)], "_c")
+    c = settle(c.withColumn("_c", F.col("_c") - F.col("_n")), "counted")
+    per = c.groupBy(*keys).agg(F.min("_c").alias("_s"), F.sum("_n").alias("_t"))
+    return _join(c, per, keys).select(*keys, value, "_n", (F.col("_c") - F.col("_s")).alias("_b"), "_t")
+
+
+def _join(df: DataFrame, per: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` with the columns of ``per``, one row a key; null keys meet."""
+    if not keys:
+        return df.join(F.broadcast(per), how="cross") if how == "inner" else df.join(F.broadcast(per), F.lit(True), how)
+    names = {k: f"_key{i}" for i, k in enumerate(keys)}
+    other = per.withColumnsRenamed(names)
+    cond = reduce(lambda x, y: x & y, [df[k].eqNullSafe(other[n]) for k, n in names.items()])
+    return df.join(other, cond, how).drop(*names.values())
+
+
+def rank_rows(df: DataFrame, value: str, partition_by: Sequence[str], direction: str = "desc", name: str = "_rank") -> DataFrame:
+    """1-based rank in each group, ties equal.  Groups may be few and hot: ranks are counted
+    over distinct values by ranges, no group is gathered."""
+    ranks = _counted(df, partition_by, value, direction == "desc").select(*partition_by, value, (F.col("_b") + 1).cast("bigint").alias(name))
+    return _join(df, ranks, [*partition_by, value])
+
+
+def quantiles(df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """keys and one column for each ``name: (value, p)``: exact, linear between neighbours.
+    The table of distinct values of a group is spread over ranges, not held in a task."""
+    out = df.select(*keys).distinct()
+    for value in dict.fromkeys(v for v, _ in wanted.values()):
+        own = _counted(df.filter(F.col(value).isNotNull()), keys, value, False)
+        at = {n: F.lit(p) * (F.col("_t") - 1) for n, (v, p) in wanted.items() if v == value}
+        holds = lambda i: (F.col("_b") <= i) & (i < F.col("_b") + F.col("_n"))
+        picks = [F.max(F.when(holds(f(h)), F.col(value).cast("double"))).alias(f"_{s}_{n}") for n, h in at.items() for s, f in (("lo", F.floor), ("hi", F.ceil))]
+        parts = own.groupBy(*keys).agg(F.max("_t").alias("_t"), *picks)
+        parts = parts.select(*keys, *[(F.col(f"_lo_{n}") + (h - F.floor(h)) * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n, h in at.items()])
+        out = _join(out, parts, keys, "left")
+    return out
+
+
+def fill_mean(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Nulls replaced by the group's mean; groups are averaged before the shuffle."""
+    out = _join(df, df.groupBy(*keys).agg(F.avg(value).alias("_mean")), keys)
+    return out.withColumn(name, F.coalesce(F.col(value), F.col("_mean"))).drop("_mean")
+
+
+def zscores(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
+    """Distance from the group's mean in population deviations; null where these are 0."""
+    out = _join(df, df.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_dev")), keys)
+    return out.withColumn(name, F.try_divide(F.col(value) - F.col("_mean"), F.col("_dev"))).drop("_mean", "_dev")
+
+
 def chunks(df: DataFrame, order, size: int, value: str) -> DataFrame:
     n = numbered(df, order, "_n")
     return n.groupBy(F.floor((F.col("_n") - 1) / size).alias("chunk")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", value))), lambda x: x[value]).alias("items"))
@@ -256,12 +333,8 @@ def running(op: str, value: str, order, partition_by) -> Column:
 
 
 def global_running_sum(df: DataFrame, value: str, order, name: str) -> DataFrame:
-    """A running total over the whole table: totals of ranges, then offsets."""
-    ranged = df.repartitionByRange(*_names(order)).withColumn("_p", F.spark_partition_id())
-    w = Window.partitionBy("_p").orderBy(*_names(order)).rowsBetween(Window.unboundedPreceding, 0)
-    own = ranged.withColumn("_c", F.sum(num(F.col(value))).over(w))
-    totals = ranged.groupBy("_p").agg(F.coalesce(F.sum(num(F.col(value))), F.lit(0.0)).alias("_t"))
-    return own.join(_offsets(totals), "_p").withColumn(name, F.col("_c") + F.col("_o")).drop("_p", "_c", "_o")
+    """A running total over the whole table; nulls and non-numbers add nothing."""
+    return prefix_sum(df, F.coalesce(num(F.col(value)), F.lit(0.0)), order, name)
 
 
 # -- set operations and joins --------------------------------------------------------------
@@ -289,15 +362,20 @@ def size_in_bytes(df: DataFrame) -> int:
 
 
 def lookup(df: DataFrame, table: DataFrame, on: dict[str, str], result: str, alias: str, order=None, default=None) -> DataFrame:
-    """Left join with the first row of each key; keys compare as text.  The table is
-    broadcast when its estimated size is under ``BROADCAST_BYTES``, else both sides are
-    shuffled and adaptive execution splits hot keys."""
+    """Left join with the first row of each key; keys compare as text.  A table that looks
+    small is reduced to its keys and results, written, and measured: up to
+    ``BROADCAST_BYTES`` it is broadcast, else both sides are shuffled and adaptive execution
+    splits hot keys."""
     keys = {f"_k{i}": (a, b) for i, (a, b) in enumerate(on.items())}
     t = table.select(*[text(F.col(b)).alias(k) for k, (_, b) in keys.items()], F.col(result).alias(alias), *([F.struct(*_names(order)).alias("_ord")] if order else []))
+    small = size_in_bytes(t) <= BROADCAST_BYTES
     pick = F.min_by(alias, "_ord") if order else F.first(alias)
     t = t.groupBy(*keys).agg(pick.alias(alias))
-    if size_in_bytes(table) <= BROADCAST_BYTES:
-        t = F.broadcast(t)
+    if small:
+        t = settle(t, "lookup")
+        cells = [F.coalesce(F.octet_length(text(F.col(c))), F.lit(0)) + 16 for c in t.columns]
+        if (t.agg(F.sum(reduce(lambda x, y: x + y, cells))).first()[0] or 0) <= BROADCAST_BYTES:
+            t = F.broadcast(t)
     cond = reduce(lambda x, y: x & y, [text(df[a]) == t[k] for k, (a, _) in keys.items()])
     out = df.join(t, cond, "left").select(*[df[c] for c in df.columns], t[alias])
     return out if default is None else out.withColumn(alias, F.coalesce(alias, F.lit(default)))

@@ -186,6 +186,11 @@ def row_number(spark, sf_dir):
     return R.numbered(read(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
+@query("row_number_all_columns", "select *, row_number() over (order by l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem")
+def row_number_all_columns(spark, sf_dir):
+    return R.numbered(read(spark, sf_dir, "lineitem"), ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "n")
+
+
 @query("chunk", "select chunk, count(*) as n, min(p_partkey) as lo from (select p_partkey, (row_number() over (order by p_partkey) - 1) // 64 as chunk from part) group by 1")
 def chunk(spark, sf_dir):
     return R.chunks(read(spark, sf_dir, "part"), "p_partkey", 64, "p_partkey").select("chunk", F.size("items").cast("bigint").alias("n"), F.array_min("items").alias("lo"))
@@ -213,10 +218,10 @@ _W = "(partition by user_id order by ts, event_id)"
                rank() over (partition by event_type order by value desc) as rank_, row_number() over {_W} as rn from events""",
 )
 def windows(spark, sf_dir):
-    e, o, p = read(spark, sf_dir, "events"), ["ts", "event_id"], ["user_id"]
+    e, o, p = R.rank_rows(read(spark, sf_dir, "events"), "value", ["event_type"], name="rank_"), ["ts", "event_id"], ["user_id"]
     return e.select(
         "event_id", r(R.cumsum("value", o, p), 4).alias("cumsum"), r(R.diff("value", o, p)).alias("diff"), r(R.pct_change("value", o, p)).alias("pct_change"), R.lag("value", o, p, 2).alias("lag2"),
-        R.lead("value", o, p, 1, -1.0).alias("lead1"), r(R.moving_avg("value", 3, o, p)).alias("moving_avg"), R.rank("value", ["event_type"]).cast("bigint").alias("rank_"),
+        R.lead("value", o, p, 1, -1.0).alias("lead1"), r(R.moving_avg("value", 3, o, p)).alias("moving_avg"), "rank_",
         F.row_number().over(Window.partitionBy(*p).orderBy(*o)).cast("bigint").alias("rn"),
     )
 
@@ -231,7 +236,8 @@ _V = "case when event_id % 3 = 0 then value end"
 )
 def fill_missing(spark, sf_dir):
     e, o, p = read(spark, sf_dir, "events").withColumn("x", F.when(c("event_id") % 3 == 0, c("value"))), ["ts", "event_id"], ["user_id"]
-    return e.select("event_id", R.fill_missing("x", o, p, None, "forward").alias("forward"), R.fill_missing("x", o, p, None, "backward").alias("backward"), R.fill_missing("x", o, p, -1.0).alias("value_"), r(R.fill_missing("x", o, p, None, "mean")).alias("mean"))
+    e = R.fill_mean(e, "x", p, "m")
+    return e.select("event_id", R.fill_missing("x", o, p, None, "forward").alias("forward"), R.fill_missing("x", o, p, None, "backward").alias("backward"), R.fill_missing("x", o, p, -1.0).alias("value_"), r(c("m")).alias("mean"))
 
 
 @query("shift", f"select event_id, lag(value, 1, 0.0) over {_W} as right1, lead(value, 2) over {_W} as left2, round(product(1 + value / 1000) over {_W[:-1]} rows unbounded preceding), 5) as cumprod from events")
@@ -245,6 +251,18 @@ def accumulate(spark, sf_dir):
     return R.global_running_sum(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "t").select("o_orderkey", r("t", 2).alias("total"))
 
 
+@query("accumulate_all_columns", "select *, cast(sum(cast(o_totalprice as decimal(18, 2))) over (order by o_orderdate, o_orderkey rows unbounded preceding) as double) as total from orders")
+def accumulate_all_columns(spark, sf_dir):
+    d = R.prefix_sum(read(spark, sf_dir, "orders"), c("o_totalprice").cast("decimal(18,2)"), ["o_orderdate", "o_orderkey"], "total")
+    return d.withColumn("total", c("total").cast("double"))
+
+
+@query("quantiles", "select user_id, round(quantile_cont(value, 0.25), 6) as q25, round(median(value), 6) as q50, round(quantile_cont(value, 0.99), 6) as q99 from events group by 1")
+def quantiles(spark, sf_dir):
+    q = R.quantiles(read(spark, sf_dir, "events"), ["user_id"], {"q25": ("value", 0.25), "q50": ("value", 0.5), "q99": ("value", 0.99)})
+    return q.select("user_id", *[r(n).alias(n) for n in ("q25", "q50", "q99")])
+
+
 @query("accumulate_in_loop", f"select event_id, count(*) over {_W[:-1]} rows unbounded preceding) as n, min(value) over {_W[:-1]} rows unbounded preceding) as lo, max(value) over {_W[:-1]} rows unbounded preceding) as hi, first_value(event_type) over {_W} as f from events")
 def accumulate_in_loop(spark, sf_dir):
     o, p = ["ts", "event_id"], ["user_id"]
@@ -279,15 +297,17 @@ def unpivot(spark, sf_dir):
 )
 def statistics(spark, sf_dir):
     q, p = "l_quantity", "l_extendedprice"
-    return read(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        r(F.stddev_pop(q)).alias("std"), r(F.var_pop(q), 5).alias("variance"), r(F.stddev_samp(q)).alias("std_sample"), r(F.var_samp(q), 5).alias("variance_sample"), F.median(q).alias("median"),
-        r(F.percentile(p, 0.9), 4).alias("p90"), r(F.covar_pop(q, p), 3).alias("covariance"), r(R.correlation(q, p)).alias("correlation"), r(R.weighted_avg("l_discount", q), 8).alias("weighted"),
-    )
+    d = read(spark, sf_dir, "lineitem")
+    mids = R.quantiles(d, ["l_returnflag"], {"median": (q, 0.5), "p90": (p, 0.9)})
+    return d.groupBy("l_returnflag").agg(
+        r(F.stddev_pop(q)).alias("std"), r(F.var_pop(q), 5).alias("variance"), r(F.stddev_samp(q)).alias("std_sample"), r(F.var_samp(q), 5).alias("variance_sample"),
+        r(F.covar_pop(q, p), 3).alias("covariance"), r(R.correlation(q, p)).alias("correlation"), r(R.weighted_avg("l_discount", q), 8).alias("weighted"),
+    ).join(mids.withColumn("p90", r("p90", 4)), "l_returnflag")
 
 
 @query("zscore", "select l_orderkey, l_linenumber, round((l_quantity - avg(l_quantity) over (partition by l_suppkey)) / nullif(stddev_pop(l_quantity) over (partition by l_suppkey), 0), 6) as z from lineitem")
 def zscore(spark, sf_dir):
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r(R.zscore("l_quantity", ["l_suppkey"])).alias("z"))
+    return R.zscores(read(spark, sf_dir, "lineitem"), "l_quantity", ["l_suppkey"], "z").select("l_orderkey", "l_linenumber", r(c("z")).alias("z"))
 
 
 @query("mode", "select l_suppkey, l_quantity as mode from (select l_suppkey, l_quantity, row_number() over (partition by l_suppkey order by count(*) desc, min((l_orderkey * 10 + l_linenumber) * 10000000 + l_partkey)) as k from lineitem group by 1, 2) where k = 1")

@@ -27,6 +27,34 @@ def test_numbering_without_keys_is_distributed(spark):
     assert "SinglePartition" not in d.select("x", "_rowNum")._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
 
 
+def test_numbering_keeps_every_row_whatever_the_exchanges(spark, sf):
+    """Wide rows, and partitions that adaptive execution coalesces to other counts."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey"]
+        n = R.numbered(lines, order, "n")
+        assert n.agg({"n": "count"}).first()[0] == lines.count() and sorted(x["n"] for x in n.select("n").collect()) == list(range(1, lines.count() + 1))
+        total = R.global_running_sum(lines, "l_quantity", order, "t")
+        assert total.count() == lines.count() and total.agg({"t": "max"}).first()[0] == lines.agg({"l_quantity": "sum"}).first()[0]
+        assert R.skip(lines, order, 100).count() == lines.count() - 100
+        ranks = R.rank_rows(lines, "l_quantity", ["l_returnflag"])
+        assert ranks.count() == lines.count() and ranks.filter("_rank = 1").agg({"l_quantity": "min"}).first()[0] == 50
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_quantiles_and_ranks_take_nulls_and_ties(spark):
+    d = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 4.0), ("a", None), (None, 2.0), ("b", None)], "k string, x double")
+    got = {r["k"]: r["m"] for r in R.quantiles(d, ["k"], {"m": ("x", 0.75)}).collect()}
+    assert got == {"a": 2.5, None: 2.0, "b": None}
+    ranks = sorted(((r["k"], r["x"], r["_rank"]) for r in R.rank_rows(d, "x", ["k"]).collect()), key=str)
+    assert ranks == sorted([("a", 4.0, 1), ("a", 1.0, 2), ("a", 1.0, 2), ("a", None, 4), (None, 2.0, 1), ("b", None, 1)], key=str)
+    assert R.quantiles(d.filter("x > 9"), ["k"], {"m": ("x", 0.5)}).count() == 0
+
+
 def test_dedupe_keeps_rows_without_key(spark):
     d = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "o int, k string")
     assert sorted(r["o"] for r in R.dedupe(d, "k", "o").collect()) == [1, 3, 4]
