@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import threading
 import uuid
 import zipfile
 from functools import reduce
@@ -13,9 +14,20 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import remove, shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: Tables written by this thread; operators in other threads have lists of their own.
+_mine = threading.local()
+_all: list[list[tuple[SparkSession, str]]] = []
+
+
+def _scratch() -> list[tuple[SparkSession, str]]:
+    if not hasattr(_mine, "tables"):
+        _mine.tables = []
+        _all.append(_mine.tables)
+    return _mine.tables
 
 
 _shipped: list[object] = []
@@ -45,15 +57,6 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names for checkpoints; one of our own only if unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="sparkweave-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
 def cut(df: DataFrame, tag: str, rows: int | None = None, per: int = 250_000) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives
     lost executors, and drops the partitioning so that a later join can split skew.
@@ -64,7 +67,7 @@ def cut(df: DataFrame, tag: str, rows: int | None = None, per: int = 250_000) ->
         df = df.coalesce(max(16, -(-rows // per)))
     path = f"{shared_dir(spark)}/sparkweave-{uuid.uuid4().hex}/{tag}"
     df.write.parquet(path)
-    _scratch.append((spark, path.rsplit("/", 1)[0]))
+    _scratch().append((spark, path.rsplit("/", 1)[0]))
     out = spark.read.schema(df.schema).parquet(path)
     out._sparkweave_path = path
     return out
@@ -81,38 +84,43 @@ def drop(*tables: DataFrame) -> None:
     """Delete tables made by ``cut`` that no later plan reads."""
     for t in tables:
         path = t._sparkweave_path.rsplit("/", 1)[0]
-        _remove(t.sparkSession, path)
-        _scratch[:] = [x for x in _scratch if x[1] != path]
+        remove(t.sparkSession, path)
+        _scratch()[:] = [x for x in _scratch() if x[1] != path]
 
 
 def mark() -> int:
     """The place in the list of written tables from which ``release`` deletes."""
-    return len(_scratch)
+    return len(_scratch())
 
 
 def release(since: int, *kept: DataFrame) -> None:
     """Delete the tables written since ``mark`` but those that the result reads."""
     stay = {t._sparkweave_path.rsplit("/", 1)[0] for t in kept}
-    for spark, path in _scratch[since:]:
+    own = _scratch()
+    for spark, path in own[since:]:
         if path not in stay:
-            _remove(spark, path)
-    _scratch[since:] = [x for x in _scratch[since:] if x[1] in stay]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            remove(spark, path)
+    own[since:] = [x for x in own[since:] if x[1] in stay]
 
 
 @atexit.register
 def _sweep() -> None:
-    for spark, path in _scratch:
+    for spark, path in (x for own in _all for x in own):
         try:
-            _remove(spark, path)
+            remove(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone
             return
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = f"_{name}"
+    while out.lower() in taken:
+        out = "_" + out
+    return out
+
+
 def same(a: list[Column], b: list[Column]) -> Column:
     """Null-safe equality of two key lists."""
     return reduce(lambda x, y: x & y, [p.eqNullSafe(q) for p, q in zip(a, b, strict=True)])

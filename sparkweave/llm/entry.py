@@ -34,7 +34,7 @@ def _op6_sql() -> str:
     cases = sorted(urls.DOMAIN_RULES, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"when {fits(h, p)} then '{h}{p}'" for _, h, p in cases)
     verdict = " ".join(f"when {fits(h, p)} then '{v}'" for v, h, p in cases)
-    quoted = [(v, rx.replace("'", "''")) for v, _, rx in urls.PATTERN_RULES]
+    quoted = [(v, rx.replace("'", "''")) for v, rx in urls.PATTERN_RULES]
     other = " or ".join(f"regexp_matches(low, '{rx}')" for v, rx in quoted if v == "block")
     return f"""
 with u as (select page_id, {LOWER.format("coalesce(url, '')")} as low,

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, drop, mark, release
+from .common import ascii_lower, cut, drop, fresh, mark, release
 
 DIGESTS = ("xxhash64(x)", "sha2(x, 256)")
 
@@ -101,11 +101,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 8192) -> DataFrame:
     """The input's rows and columns, one row for each distinct normalised text."""
     since = mark()
-    kept = cut(exact_duplicates(docs, id_col, text_col, block_bytes).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")), "kept")
+    key, id_, sha_ = (fresh(docs, n) for n in ("key", "id", "sha"))
+    kept = cut(exact_duplicates(docs, id_col, text_col, block_bytes).filter("kept").select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_)), "kept")
     release(since, kept)
     sha = F.sha2(F.encode(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), "UTF-8"), 256)
-    out = docs.withColumn("_key", sha)
-    out = out.join(kept, (F.col("_key") == F.col("_sha")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    out = docs.withColumn(key, sha)
+    out = out.join(kept, (F.col(key) == F.col(sha_)) & F.col(id_col).eqNullSafe(F.col(id_)), "left_semi")
     if docs.groupBy(id_col).count().filter("count > 1").limit(1).count():  # repeated ids: one row of those that are equal
-        out = out.dropDuplicates([id_col, "_key"])
+        out = out.dropDuplicates([id_col, key])
     return out.select(*docs.columns)

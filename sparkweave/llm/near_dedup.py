@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import cut, drop, mark, release, ship
+from .common import cut, drop, fresh, mark, release, ship
 
 BINS, ROWS = 128, 4
 #: Stars end when fewer than one in so many of their pairs is a link.
@@ -264,7 +264,8 @@ def _result(rows: DataFrame, label: DataFrame | None, since: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
     """The input's rows and columns without the members of a group but the one of least id."""
     since = mark()
-    gone = cut(near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("tkey").alias("_tkey")).distinct(), "gone")
+    key, id_, tkey = (fresh(docs, n) for n in ("key", "id", "tkey"))
+    gone = cut(near_duplicates(docs, id_col, text_col, size, percent).filter("not kept").select(F.col("doc_id").alias(id_), F.col("tkey").alias(tkey)).distinct(), "gone")
     release(since, gone)
-    out = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return out.join(gone.hint("merge"), (F.col("_key") == F.col("_tkey")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    out = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    return out.join(gone.hint("merge"), (F.col(key) == F.col(tkey)) & F.col(id_col).eqNullSafe(F.col(id_)), "left_anti").select(*docs.columns)
