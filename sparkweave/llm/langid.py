@@ -1,43 +1,46 @@
 """Language ID by compression.
 
-A language is a zstandard raw-content dictionary: whole training texts of that language
-put end to end, most frequent language first.  Texts and dictionaries are folded to
-lower-case letters and single spaces; long texts are compressed in pieces, each with the
-dictionary, and the sizes added.  A text goes to the language whose dictionary compresses it to the fewest
-bytes; it is rejected when the best and the second best are closer than ``margin`` (as a
-share of the best size) or when it has no letter.  Where sizes are nearly equal (texts of a
-few words, or of one word again and again), the bytes of the text's words that are matched
-as whole words in each dictionary decide, and their gap is the margin.
-
-Bound of the fit (the only sample here): about ``docs_per_lang`` training texts of each
-language, the ones whose hashed text falls under a threshold computed from the full
-counts, each at most ``max_doc_bytes`` long, ``dict_bytes`` in all.  Prediction covers
-every row and its whole text, map-only.
+A language is a zstandard raw-content dictionary: training texts of that language put end
+to end.  Texts and dictionaries are folded to lower-case letters and single spaces; long
+texts are compressed in pieces, each with the dictionary, and the sizes added.  A text goes
+to the language whose dictionary compresses it to the fewest bytes.  Where the fast level
+leaves two languages within ``NARROW`` of each other, all sizes are taken again at a
+thorough level, which finds shorter matches; these sizes then decide.  A text is rejected
+when the best and the second best are closer than ``margin`` (as a share of the best size)
+or when it has no letter.
+
+Bound of the fit (the only sample here): the ``docs_per_lang`` different training texts of
+each language whose hashes are least, each clipped to ``max_doc_bytes`` characters,
+``dict_bytes`` in all.  Copies count as one text.  The least hashes are found on the
+executors, salted, so that no language is gathered; what reaches the driver is bounded by
+those parameters for each language.  Prediction covers every row and its whole text,
+map-only.
 
 Defined cases: null text or no letter -> ``und``, score 0, rejected; one learned language
 -> that language, score 1; ties -> the language with the most training texts; no training rows ->
-``und`` for all; further columns pass through (a clashing lang_pred, score, rejected is
-replaced).
+``und`` for all; further columns pass through.  The result columns are named by ``names``;
+input columns of these names are replaced.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import ship
 
-LEVEL = 3
+LEVEL, THOROUGH = 3, 12
 #: Bytes of a text that are compressed at a time: with the dictionary they fit the window.
 PIECE = 1 << 19
-#: Sizes closer than this are told apart by the words that the dictionaries share with the text.
-NARROW = 0.05
+#: Sizes closer than this are taken again at the thorough level.
+NARROW = 0.1
+SALT = 64
 
 #: A-Z to lower case, every other ASCII byte that is no letter to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -50,48 +53,37 @@ def fold(text: bytes) -> bytes:
 
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 160, max_doc_bytes: int = 16384, dict_bytes: int = 1 << 18) -> dict[str, bytes]:
     """Language -> dictionary content, from the rows of ``train`` with text and language."""
-    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and octet_length(text) between 1 and " + str(max_doc_bytes))
+    rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null and text <> ''")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
-    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, docs_per_lang / n)))])
-    pick = (F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))) < share[F.col("lang")]
-    texts: dict[str, dict[bytes, None]] = {}
-    for r in rows.filter(pick).collect():  # about docs_per_lang * max_doc_bytes a language at most
-        texts.setdefault(r["lang"], {})[r["text"].encode()] = None
+    keyed = rows.withColumn("h", F.xxhash64("text", F.lit(7)))
+    least = keyed.select("lang", "h").distinct().withColumn("salt", F.pmod("h", F.lit(SALT)))
+    for keys in (("lang", "salt"), ("lang",)):  # at most SALT * docs_per_lang rows a language reach the second
+        least = least.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("h"))).filter(F.col("k") <= docs_per_lang)
+    picked = keyed.join(F.broadcast(least.select("lang", "h")), ["lang", "h"])
+    texts: dict[str, list[tuple[int, bytes]]] = {}
+    for r in picked.groupBy("lang", "h").agg(F.min(F.substring("text", 1, max_doc_bytes)).alias("text")).collect():
+        texts.setdefault(r["lang"], []).append((r["h"], r["text"].encode()))
     out = {}
     for lang, own in sorted(texts.items()):
-        picked, size = [], 0
-        for t in sorted(own, key=lambda t: hash_of(t)):
-            if size + len(t) > dict_bytes and picked:
+        kept, size = [], 0
+        for _, t in sorted(own):
+            if size + len(t) > dict_bytes and kept:
                 continue
-            picked.append(t)
+            kept.append(t)
             size += len(t)
-        out[lang] = b" ".join(map(fold, reversed(picked)))
+        out[lang] = b" ".join(map(fold, reversed(kept)))
     return dict(sorted(out.items(), key=lambda x: (-counts[x[0]], x[0])))
 
 
-def hash_of(t: bytes) -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(t, 11)
-
-
 class Model:
-    """Sizes of texts under each dictionary; one compressor a language and process."""
+    """Sizes of texts under each dictionary; one compressor a language, level and process."""
 
     def __init__(self, dictionaries: dict[str, bytes]):
         self.dictionaries = dictionaries
         self.langs = list(dictionaries)
-        self._made = None
-        self._words = None
-
-    def covered(self, text: bytes) -> np.ndarray:
-        """Bytes of the text's different words that each dictionary holds as words."""
-        if self._words is None:
-            self._words = [set(self.dictionaries[k].split()) for k in self.langs]
-        own = set(text.split())
-        return np.array([sum(len(w) for w in own & d) for d in self._words], dtype=float)
+        self._made = {}
 
     def __getstate__(self):
         return self.dictionaries
@@ -99,18 +91,18 @@ class Model:
     def __setstate__(self, state):
         self.__init__(state)
 
-    def sizes(self, text: bytes) -> list[int]:
+    def sizes(self, text: bytes, level: int = LEVEL) -> np.ndarray:
         import zstandard
 
-        if self._made is None:
-            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, window_log=20)
-            self._made = []
+        if level not in self._made:
+            params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_dict_id=False, window_log=20)
+            self._made[level] = []
             for k in self.langs:
                 d = zstandard.ZstdCompressionDict(self.dictionaries[k], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
-                self._made.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
+                self._made[level].append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
         pieces = [text[i : i + PIECE] for i in range(0, max(len(text), 1), PIECE)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in self._made]
+        return np.array([sum(len(c.compress(p)) for p in pieces) for c in self._made[level]], dtype=float)
 
     def judge(self, text: bytes) -> tuple[str, float, float]:
         """(language, score, margin).  The score is the share of the best language when
@@ -118,27 +110,24 @@ class Model:
         if not self.langs:
             return "und", 0.0, 0.0
         text = fold(text)
-        s = np.array(self.sizes(text), dtype=float)
+        s = self.sizes(text)
+        if len(s) > 1 and np.diff(np.partition(s, 1)[:2])[0] < NARROW * s.min():
+            s = self.sizes(text, THOROUGH)
         best = int(np.argmin(s))
         rest = np.delete(s, best)
         margin = float((rest.min() - s[best]) / s[best]) if len(rest) else 1.0
-        if margin < NARROW:
-            # a few bytes can't part short or repetitive texts: matches of whole words may
-            c = self.covered(text)
-            k = int(np.argmax(c))
-            gap = float((c[k] - np.delete(c, k).max()) / c[k]) if len(rest) and c[k] else 0.0
-            if gap > margin:
-                s[k] = min(s[k], s[best] * (1 - gap / 10))
-                best, margin = k, gap
         w = np.exp2(-np.minimum((s - s[best]) * 8 * 32 / max(len(text), 32), 500))
         return self.langs[best], float(1 / w.sum()), margin
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float = 0.002) -> DataFrame:
-    """``docs`` with lang_pred, score, margin, rejected."""
-    mine = ["lang_pred", "score", "margin", "rejected"]
+NAMES = ("lang_pred", "score", "margin", "rejected")
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float = 0.002, names: Sequence[str] = NAMES) -> DataFrame:
+    """``docs`` with lang_pred, score, margin, rejected, or as ``names`` calls them."""
+    mine = list(names)
     kept = [c for c in docs.columns if c not in mine]
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(n, t) for n, t in zip(mine, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,6 +143,3 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", margin: float
 
     return ship(docs.select(*kept)).mapInArrow(run, schema)
 
-
-def train_rows(docs: DataFrame, key: Column, learn: int) -> DataFrame:
-    return docs.filter(key != learn)
