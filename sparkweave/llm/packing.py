@@ -79,7 +79,8 @@ def bucket_bounds(hist: dict[int, int], n_buckets: int) -> list[int]:
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None, n_buckets: int = 12, budget: int = 16384, shard_rows: int = 20000) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, padding, batch_id, slot, batch_docs."""
     n = F.coalesce(F.col(length_col).cast("int"), F.lit(0)) if length_col else word_count(F.col(text_col))
-    rows = cut(docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens"), F.xxhash64(F.col(id_col), F.lit(1)).alias("h")), "lengths")
+    # rows that share an id, or have none, are spread by their text too
+    rows = cut(docs.select(F.col(id_col).alias("doc_id"), n.alias("n_tokens"), F.xxhash64(F.col(id_col), F.col(length_col or text_col), F.lit(1)).alias("h")), "lengths")
     stats = rows.agg(F.count(F.lit(1)).alias("rows")).first()
     hist = {r["n_tokens"]: r["count"] for r in rows.groupBy("n_tokens").count().collect()}
     bounds = bucket_bounds(hist, n_buckets) or [0]
