@@ -2,25 +2,29 @@
 
 Texts and items are folded (lower case, letters and digits, single spaces).  A passage of a
 document is a leak of an item of L bytes when its edit distance to the item is at most
-k = min(ratio * L, L // PIECE - 1).
+k = ratio * L.
 
-1. Windows.  k edits leave at least L // PIECE - k of the item's disjoint PIECE-byte pieces
-   intact, all within k of one alignment.  Only item-sized windows that hold so many go on
-   (nothing within k edits is lost).
+1. Prefilter.  k edits leave at least L // piece - k of the item's disjoint pieces intact
+   (8 bytes; 5 for items under 32 bytes, so that one stays at least), all within k of one
+   alignment.  Only item-sized windows that hold so many go on: nothing within k edits is
+   lost.
 2. CGK: ``walks`` random walks shared by both sides turn each window and item into strings
    of 3L symbols whose Hamming distance follows the edit distance.
-3. Bit sampling: in each walk, again and again ``bits`` positions of the embedding; equal in
-   one repetition makes a candidate.  The number of repetitions follows from the target
-   recall at ``distance``, the share of unequal symbols that k edits give in the median
-   walk (measured 0.51); the other walks make up for an unlucky one.
+3. Bit sampling: in each walk, again and again ``bits`` positions of the embedding are
+   hashed.  The items' samples are filed in one table a walk, under repetition, length and
+   hash; a window looks its own samples up there, and whatever items it finds are its
+   candidates.  The number of repetitions follows from the target recall at ``distance``,
+   the share of unequal symbols that k edits give in the median walk (measured 0.51); the
+   other walks make up for an unlucky one.
 4. Candidates are confirmed exactly by a bit-parallel semi-global edit distance.
 
 Map-only over documents.  Items are shipped in blocks of at most ``block_items`` items, one
-pass a block, so what is broadcast does not grow with the benchmark.
+pass a block, so what is broadcast at a time does not grow with the benchmark.
 
-Defined cases: null or empty texts hold no leak; items whose folded text has fewer than
-2 * PIECE bytes are too short to be evidence and match nothing; repeated items are all
-reported; an empty benchmark leaves every document clean; further columns stay.
+Defined cases: null or empty texts hold no leak; items without letters or digits match
+nothing; items of at most 8 folded bytes match where they stand as whole words, unchanged;
+repeated items are all reported; item ids are of any type; an empty benchmark leaves every
+document clean; further columns stay (one named as ``out_col`` is replaced).
 """
 
 from __future__ import annotations
@@ -34,10 +38,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from . import words as W
 from .common import ship
 
-PIECE = 8
+PIECE, SHORT_PIECE, SHORT, WORD = 8, 5, 32, 8
 _KEEP = bytes(b if chr(b).isalnum() or b > 127 else 32 for b in range(256))
 
 
@@ -45,18 +51,18 @@ def fold(text: str | None) -> bytes:
     return b" ".join((text or "").lower().encode("utf-8", "replace").translate(_KEEP).split())
 
 
-def limit(n: int, ratio: float) -> int:
-    """Most edits of a leak of an item of n bytes; -1: too short."""
-    return min(int(ratio * n), n // PIECE - 1) if n >= 2 * PIECE else -1
+def limit(n: int, ratio: float, piece: int = PIECE) -> int:
+    """Most edits of a leak of an item of n bytes."""
+    return min(int(ratio * n), n // piece - 1)
 
 
-def grams(b: np.ndarray) -> np.ndarray:
-    """The PIECE bytes from each position as one integer."""
-    n = len(b) - PIECE + 1
+def grams(b: np.ndarray, size: int = PIECE) -> np.ndarray:
+    """The ``size`` bytes from each position as one integer."""
+    n = len(b) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     g = np.zeros(n, dtype=np.uint64)
-    for j in range(PIECE):
+    for j in range(size):
         g |= b[j : j + n].astype(np.uint64) << np.uint64(8 * j)
     return g
 
@@ -118,7 +124,7 @@ def repetitions(recall: float, bits: int, distance: float) -> int:
 
 @dataclass
 class Index:
-    """One block of benchmark items, ready for lookups."""
+    """One block of benchmark items of one piece size, ready for lookups."""
 
     ids: list
     items: list[bytes]
@@ -128,18 +134,18 @@ class Index:
     seed: int
     walks: int = 6
     distance: float = 0.55
+    piece: int = PIECE
 
     def __post_init__(self):
         self.length = np.array([len(t) for t in self.items], dtype=np.int64)
-        self.k = np.array([limit(len(t), self.ratio) for t in self.items], dtype=np.int64)
-        self.need = self.length // PIECE - self.k
+        self.k = np.array([limit(len(t), self.ratio, self.piece) for t in self.items], dtype=np.int64)
+        self.need = self.length // self.piece - self.k
         keys, item, at = [], [], []
         for i, t in enumerate(self.items):
-            if self.k[i] >= 0:
-                g = grams(np.frombuffer(t, np.uint8))[:: PIECE]
-                keys.append(g)
-                item += [i] * len(g)
-                at += range(0, PIECE * len(g), PIECE)
+            g = grams(np.frombuffer(t, np.uint8), self.piece)[:: self.piece]
+            keys.append(g)
+            item += [i] * len(g)
+            at += range(0, self.piece * len(g), self.piece)
         keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys, self.item, self.at = keys[order], np.array(item, np.int64)[order], np.array(at, np.int64)[order]
@@ -149,7 +155,28 @@ class Index:
         b = np.frombuffer(b"".join(self.items) + b" ", np.uint8)
         start = np.concatenate([[0], np.cumsum(self.length)[:-1]]).astype(np.int64) if len(self.items) else np.zeros(0, np.int64)
         self.steps = 3 * int(self.length.max(initial=1))
-        self.hash = [self.sketch(b, start, self.length, self.length, w) for w in range(self.walks)]
+        # the buckets of a walk, sorted: (repetition, length, sample) as one key, and the item
+        self.buckets = []
+        for w in range(self.walks):
+            key = self.filed(self.sketch(b, start, self.length, self.length, w), self.length)
+            order = np.argsort(key, kind="stable")
+            self.buckets.append((key[order], np.repeat(np.arange(len(self.items)), self.reps)[order]))
+
+    def filed(self, sample: np.ndarray, length: np.ndarray) -> np.ndarray:
+        rep = np.arange(self.reps, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return W.mix(sample + rep[None, :] + W.mix(length.astype(np.uint64))[:, None]).ravel()
+
+    def candidates(self, b: np.ndarray, start: np.ndarray, length: np.ndarray, nominal: np.ndarray, walk: int) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) of all that share a bucket in this walk."""
+        keys, of = self.buckets[walk]
+        own = self.filed(self.sketch(b, start, length, nominal, walk), nominal)
+        lo = np.searchsorted(keys, own, "left")
+        n = np.searchsorted(keys, own, "right") - lo
+        hit = np.flatnonzero(n)
+        lo, n = lo[hit], n[hit]
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        pair = np.unique(np.repeat(hit // self.reps, n) * len(self.items) + of[at])
+        return pair // max(len(self.items), 1), pair % max(len(self.items), 1)
 
     def sketch(self, b, start, length, nominal, walk: int) -> np.ndarray:
         seed = self.seed + 1000 * walk
@@ -161,7 +188,7 @@ class Index:
 
     def windows(self, b: np.ndarray, doc_off: np.ndarray):
         """(document, item, start) of the windows that hold enough pieces."""
-        g = grams(b)
+        g = grams(b, self.piece)
         pos = np.flatnonzero(self.maybe[self._slot(g)]) if len(self.keys) else np.zeros(0, np.int64)
         lo = np.searchsorted(self.keys, g[pos], "left")
         n = np.searchsorted(self.keys, g[pos], "right") - lo
@@ -195,72 +222,123 @@ class Index:
         own = np.tile(np.arange(len(head)), 3)
         s0 = np.maximum(start[tries], off[doc[tries]])
         length = np.minimum(self.length[item[tries]], off[doc[tries] + 1] - 1 - s0)
-        hit = np.zeros(len(tries), dtype=bool)
+        named, seen, done = item[head], set(), np.zeros(len(head), dtype=bool)
         for w in range(self.walks):
-            todo = np.flatnonzero(~hit)
-            of = item[tries[todo]]
-            hit[todo] = (self.sketch(b, s0[todo], length[todo], self.length[of], w) == self.hash[w][of]).any(axis=1)
-        for c in np.unique(own[hit]):
-            h, t = head[c], tail[c]
-            d, i = int(doc[h]), int(item[h])
-            k, base = int(self.k[i]), int(off[d])
-            lo = max(0, int(start[h]) - base - 2 * k)
-            region = texts[d][lo : int(start[t]) - base + len(self.items[i]) + 2 * k]
-            dist, end = edit_distance_within(self.items[i], region)
-            if dist <= k:
-                found[d].append((i, max(0, lo + end - len(self.items[i])), lo + end, dist))
-        for d, f in enumerate(found):
-            best: dict[int, tuple[int, int, int, int]] = {}
-            for x in f:
-                if x[0] not in best or x[3] < best[x[0]][3]:
-                    best[x[0]] = x
-            found[d] = [best[i] for i in sorted(best)]
-        return found
-
-
-LEAK = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("distance", T.IntegerType())]))
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", ratio: float = 0.1, recall: float = 0.999, bits: int = 3, seed: int = 5, block_items: int = 20000) -> DataFrame:
+            todo = np.flatnonzero(~done[own])
+            window, other = self.candidates(b, s0[todo], length[todo], self.length[item[tries[todo]]], w)
+            for c, i in zip(own[todo[window]].tolist(), other.tolist(), strict=True):
+                if (c, i) in seen:
+                    continue
+                seen.add((c, i))
+                h, t = head[c], tail[c]
+                d, k = int(doc[h]), int(self.k[i])
+                base, slack = int(off[d]), 2 * k
+                lo = max(0, int(start[h]) - base - slack)
+                region = texts[d][lo : int(start[t]) - base + len(self.items[i]) + slack]
+                dist, end = edit_distance_within(self.items[i], region)
+                if dist <= k:
+                    found[d].append((i, max(0, lo + end - len(self.items[i])), lo + end, dist))
+                    done[c] |= i == named[c]
+        return [best_of(f) for f in found]
+
+
+def best_of(leaks: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The first of least distance of each item."""
+    best: dict[int, tuple[int, int, int, int]] = {}
+    for x in leaks:
+        if x[0] not in best or (x[3], x[1]) < (best[x[0]][3], best[x[0]][1]):
+            best[x[0]] = x
+    return [best[i] for i in sorted(best)]
+
+
+class Words:
+    """Items of at most 8 bytes: they match where they stand as whole words."""
+
+    def __init__(self, ids: list, items: list[bytes]):
+        self.ids = ids
+        self.by: dict[int, dict[int, list[int]]] = {}
+        for i, t in enumerate(items):
+            key = int(grams(np.frombuffer(t, np.uint8), len(t))[0])
+            self.by.setdefault(len(t), {}).setdefault(key, []).append(i)
+
+    def leaks(self, texts: list[bytes]) -> list[list[tuple[int, int, int, int]]]:
+        found: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        b = np.frombuffer(b"\x00" + b"\x00".join(texts) + b"\x00", np.uint8)
+        off = np.concatenate([[1], 1 + np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+        edge = (b == 32) | (b == 0)
+        for n, items in self.by.items():
+            at = np.flatnonzero(edge[: -n - 1] & edge[n + 1 :]) + 1
+            g = grams(b, n)[at]
+            at = at[np.isin(g, np.fromiter(items, np.uint64, len(items)))]
+            for p in at.tolist():
+                d = int(np.searchsorted(off, p, "right")) - 1
+                for i in items[int(grams(b[p : p + n], n)[0])]:
+                    found[d].append((i, p - int(off[d]), p - int(off[d]) + n, 0))
+        return [best_of(f) for f in found]
+
+
+class Block:
+    """A block of items: long ones, short ones and words, each with an index of its own."""
+
+    def __init__(self, ids: list, items: list[bytes], ratio: float, recall: float, bits: int, seed: int):
+        of = lambda f: [i for i, t in enumerate(items) if f(len(t))]
+        self.parts = []
+        for at, piece in ((of(lambda n: n >= SHORT), PIECE), (of(lambda n: WORD < n < SHORT), SHORT_PIECE)):
+            if at:
+                self.parts.append((at, Index(at, [items[i] for i in at], ratio, recall, bits, seed, piece=piece)))
+        at = of(lambda n: 0 < n <= WORD)
+        if at:
+            self.parts.append((at, Words(at, [items[i] for i in at])))
+        self.ids = ids
+
+    def leaks(self, texts: list[bytes]) -> list[list[tuple]]:
+        out: list[list[tuple]] = [[] for _ in texts]
+        for at, part in self.parts:
+            for d, f in enumerate(part.leaks(texts)):
+                out[d] += [(at[i], *rest) for i, *rest in f]
+        return [[(self.ids[i], *rest) for i, *rest in sorted(f)] for f in out]
+
+
+def find_leaks(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", ratio: float = 0.1, recall: float = 0.999, bits: int = 3, seed: int = 5, block_items: int = 20000, out_col: str = "leaks",
+) -> DataFrame:
     """``docs`` with a column ``leaks``: item, span in the folded text, edit distance."""
     spark = docs.sparkSession
-    kept = [c for c in docs.columns if c != "leaks"]
+    kept = [c for c in docs.columns if c != out_col]
+    leak = T.StructType([T.StructField("item_id", benchmark.schema[item_col].dataType), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("distance", T.IntegerType())])
+    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField(out_col, T.ArrayType(leak))])
     out = docs.select(*kept)
-    ordered = benchmark.select(F.col(item_col).cast("long").alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
+    ordered = benchmark.select(F.col(item_col).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     n_blocks = max(1, -(-benchmark.count() // block_items))
     for k in range(n_blocks):
         block = ordered.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k) if n_blocks > 1 else ordered
-        rows = sorted(((r["i"], r["t"]) for r in block.collect()), key=lambda x: (x[0] is None, x))
-        held = spark.sparkContext.broadcast([([r[0] for r in rows], [fold(r[1]) for r in rows], ratio, recall, bits, seed)])
-        out = _pass(out, held, kept, text_col, first=k == 0)
+        rows = sorted(((r["i"], r["t"]) for r in block.collect()), key=lambda x: (x[0] is None, str(type(x[0])), x[0] if isinstance(x[0], int | float | str) else str(x[0]), x[1]))
+        held = spark.sparkContext.broadcast(([x.asDict(True) if hasattr(x := r[0], 'asDict') else x for r in rows], [fold(r[1]) for r in rows], ratio, recall, bits, seed))
+        out = _pass(out, held, kept, text_col, schema, first=k == 0)
     return out
 
 
-def _pass(docs: DataFrame, held, kept: list[str], text_col: str, first: bool) -> DataFrame:
-    schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("leaks", LEAK)])
+def _pass(docs: DataFrame, held, kept: list[str], text_col: str, schema: T.StructType, first: bool) -> DataFrame:
+    arrow = to_arrow_type(schema[-1].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        block = None
         for batch in batches:
-            if index is None:
-                index = Index(*held.value[0])
+            block = block or Block(*held.value)
             found = []
             texts, size = [], 0
-            column = batch.column(kept.index(text_col))
-            for x in column:
+            for x in batch.column(kept.index(text_col)):
                 t = fold(x.as_py())
                 texts.append(t)
                 size += len(t)
                 if size > 1 << 22:
-                    found += index.leaks(texts)
+                    found += block.leaks(texts)
                     texts, size = [], 0
             if texts:
-                found += index.leaks(texts)
-            rows = [[(index.ids[i], s, e, d) for i, s, e, d in f] for f in found]
+                found += block.leaks(texts)
+            rows = [[dict(zip(("item_id", "start", "end", "distance"), x, strict=True)) for x in f] for f in found]
             if not first:
-                rows = [a + b for a, b in zip(([tuple(x.values()) for x in r] for r in batch.column(len(kept)).to_pylist()), rows, strict=True)]
-            arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int32())]))
-            made = pa.array([[dict(zip(("item_id", "start", "end", "distance"), x, strict=True)) for x in r] for r in rows], arrow)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], made], names=[*kept, "leaks"])
+                rows = [a + b for a, b in zip(batch.column(len(kept)).to_pylist(), rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(rows, arrow)], names=[*kept, schema[-1].name])
 
     return ship(docs).mapInArrow(run, schema)

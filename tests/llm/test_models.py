@@ -150,9 +150,9 @@ def test_leaks(spark, edge, empty):
     changed = items[1][1].replace("question", "qestion", 3)
     docs = edge.select("doc_id", "text").unionByName(spark.createDataFrame([(50, f"Before, {changed.upper()}!! after"), (51, "nothing here tiny")], "doc_id bigint, text string"))
     got = {r["doc_id"]: [(x["item_id"], x["distance"]) for x in r["leaks"]] for r in decontam.find_leaks(docs, bench).collect()}
-    assert {k: v for k, v in got.items() if v} == {14: [(1, 0)], 15: [(1, 0)], 50: [(2, 3)]}
+    assert {k: v for k, v in got.items() if v} == {14: [(1, 0)], 15: [(1, 0)], 50: [(2, 3)], 51: [(3, 0)]}
     two = {r["doc_id"]: len(r["leaks"]) for r in decontam.find_leaks(docs, bench, block_items=1).collect()}
-    assert {k for k, v in two.items() if v} == {14, 15, 50}
+    assert {k for k, v in two.items() if v} == {14, 15, 50, 51}
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(edge, bench.limit(0)).filter("size(leaks) > 0").count() == 0
 
 
