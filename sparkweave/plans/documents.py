@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
+
 VALUE = ["type", "value"]
 
 
@@ -56,15 +58,25 @@ def flatten(long: DataFrame) -> DataFrame:
     return long.select("doc", "path", F.coalesce("value", F.lit("~")).alias("value"))
 
 
-def resolve(long: DataFrame, steps: int = 5) -> DataFrame:
-    """References replaced by the value they lead to; ``cycle`` marks those that never end.
-    Pointers are doubled, so five steps follow chains of 32."""
-    hop = long.filter("type = 'reference'").select("doc", "path", F.col("value").alias("target"))
-    for _ in range(steps):
-        nxt = hop.select("doc", F.col("path").alias("target"), F.col("target").alias("t2"))
-        hop = hop.join(nxt, ["doc", "target"], "left").select("doc", "path", F.coalesce("t2", "target").alias("target"))
-    ends = long.select("doc", F.col("path").alias("target"), *VALUE)
+def chase(refs: DataFrame) -> DataFrame:
+    """doc, path, target (where the chain of references leads), endless (into a cycle) of
+    (doc, path, target) rows.  Pointers are doubled as often as the longest possible chain,
+    all references of one document, asks for."""
+    refs = refs.select("doc", "path", "target").dropDuplicates(["doc", "path"])
+    most = refs.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
+    hop = settle(refs, "references")
+    for step in range(int(most).bit_length()):
+        nxt = hop.select("doc", F.col("path").alias("target"), F.col("target").alias("_t"))
+        hop = hop.join(nxt, ["doc", "target"], "left").select("doc", "path", F.coalesce("_t", "target").alias("target"))
+        if step % 3 == 2:
+            hop = settle(hop, "hops")
+    own = hop.select("doc", F.col("path").alias("target"), F.lit(True).alias("_on"))
+    return hop.join(own, ["doc", "target"], "left").select("doc", "path", "target", F.coalesce("_on", F.lit(False)).alias("endless"))
+
+
+def resolve(long: DataFrame) -> DataFrame:
+    """References replaced by the value they lead to; ``cycle`` marks those that never end."""
+    hop = chase(long.filter("type = 'reference'").select("doc", "path", F.col("value").alias("target")))
+    ends = long.filter("type <> 'reference'").select("doc", F.col("path").alias("target"), *VALUE)
     done = hop.join(ends, ["doc", "target"], "left")
-    return long.filter("type <> 'reference'").select("doc", "path", *VALUE, F.lit(False).alias("cycle")).unionByName(
-        done.select("doc", "path", F.when(F.col("type") != "reference", F.col("type")).alias("type"), F.when(F.col("type") != "reference", F.col("value")).alias("value"), F.coalesce(F.col("type") == "reference", F.lit(False)).alias("cycle"))
-    )
+    return long.filter("type <> 'reference'").select("doc", "path", *VALUE, F.lit(False).alias("cycle")).unionByName(done.select("doc", "path", *VALUE, F.col("endless").alias("cycle")))

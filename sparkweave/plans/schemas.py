@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 
-from .validate import FORMATS, KINDS, Rule, Schema, parse_schema
+from .formats import NAMES
+from .validate import KINDS, Rule, Schema, parse_schema
 
 PREFIX = {v: k for k, v in KINDS.items() if k and not k.isalpha()}
 
@@ -25,7 +26,7 @@ def problems(schema: Schema) -> list[tuple[str, str, str]]:
                 out.append(("V017", r.path, "malformed pattern"))
             if re.search(r"\([^)]*[+*][^)]*\)[+*]", r.pattern):
                 out.append(("V017", r.path, "a pattern that may run forever"))
-        if r.format and r.format not in FORMATS:
+        if r.format and r.format not in NAMES:
             out.append(("V017", r.path, f"unknown format {r.format}"))
     for names, lo, hi in schema.one_of:
         out += [("V017", n, "not defined") for n in names if n not in seen]
@@ -38,8 +39,12 @@ def _spec(r: Rule) -> str:
     num = lambda x: "" if x is None else f"{x:g}"
     parts = ["!" if r.required else "", "[]" if r.array else "", PREFIX.get(r.kind, r.kind if r.kind != "string" else "")]
     s = " ".join(p for p in parts if p)
+    if r.places is not None:
+        s += f".{r.places}"
     if r.low is not None or r.high is not None:
         s += f":({num(r.low)}..{num(r.high)})"
+    if r.earliest or r.latest:
+        s += f":({r.earliest or ''}..{r.latest or ''})"
     if r.pattern:
         s += f":/{r.pattern}/"
     if r.values:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import try_coerce
-from .native import parse_document
+from .native import NativeError, parse_document
 from .yamlish import parse_yaml
 
 LONG = "doc string, ord bigint, path string, type string, value string"
@@ -136,11 +136,25 @@ def parse_flat(text: str) -> dict:
 def _documents(spark: SparkSession, path: str, parse) -> DataFrame:
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("doc"), "value")
 
+    return parse_texts(files, parse)
+
+
+def parse_texts(df: DataFrame, parse) -> DataFrame:
+    """doc, json, _error of (doc, value) rows: a text that can't be parsed has null JSON and
+    says why, it ends no job."""
+
+    def one(t: str | None) -> tuple[str | None, str | None]:
+        try:
+            return json.dumps(parse(t or ""), ensure_ascii=False, default=str), None
+        except Exception as e:  # noqa: BLE001  whatever a malformed text brings up
+            return None, f"{type(e).__name__}: {e}"
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc": b["doc"], "json": [json.dumps(parse(t), ensure_ascii=False, default=str) for t in b["value"]]})
+            found = [one(t) for t in b["value"]]
+            yield pd.DataFrame({"doc": b["doc"], "json": [f[0] for f in found], "_error": [f[1] for f in found]})
 
-    return files.mapInPandas(run, "doc string, json string")
+    return df.select(F.col("doc").cast("string").alias("doc"), "value").mapInPandas(run, "doc string, json string, _error string")
 
 
 def read_flat(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -152,8 +166,8 @@ def read_yaml(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def typed_json(df: DataFrame, schema: str | None) -> DataFrame:
-    """Columns of the schema, or a VARIANT column ``value``."""
-    return df.select("doc", F.from_json("json", schema).alias("v")).select("doc", "v.*") if schema else df.select("doc", F.parse_json("json").alias("value"))
+    """doc, _error, and the columns of the schema or a VARIANT column ``value``."""
+    return df.select("doc", "_error", F.from_json("json", schema).alias("v")).select("doc", "_error", "v.*") if schema else df.select("doc", "_error", F.parse_json("json").alias("value"))
 
 
 def read_native(spark: SparkSession, path: str) -> DataFrame:
@@ -163,11 +177,17 @@ def read_native(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_native(df: DataFrame, doc: str, text: str) -> DataFrame:
-    """The same for a text column."""
+    """The same for a text column.  A document that can't be parsed is one row of type
+    ``error``: the place as path, the message as value, the code as modifiers."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(d, i, *r) for d, t in zip(b["doc"], b["text"], strict=True) for i, r in enumerate(parse_document(t or ""))]
+            rows = []
+            for d, t in zip(b["doc"], b["text"], strict=True):
+                try:
+                    rows += [(d, i, *r) for i, r in enumerate(parse_document(t or ""))]
+                except NativeError as e:
+                    rows.append((d, 0, f"line {e.line}", "error", str(e), e.code))
             yield pd.DataFrame(rows, columns=["doc", "ord", "path", "type", "value", "modifiers"])
 
     return df.select(F.col(doc).cast("string").alias("doc"), F.col(text).alias("text")).mapInPandas(run, LONG + ", modifiers string")

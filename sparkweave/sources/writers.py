@@ -15,11 +15,30 @@ from .native import stringify
 Layout = list[tuple[str, int, int, str, str]]  # name, position, length, pad, "left" or "right"
 
 
+def _plain_numbers(c: Column, kind: T.DataType) -> Column:
+    """Doubles as exact decimals where they are integral, so that they print as integers;
+    the types of nested values follow.  Other values stay."""
+    if isinstance(kind, T.StructType):
+        parts = [_plain_numbers(c[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _plain_numbers(x, kind.elementType))
+    if isinstance(kind, T.MapType) and isinstance(kind.keyType, T.StringType):
+        return F.transform_values(c, lambda _, x: _plain_numbers(x, kind.valueType))
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        d = c.cast("double")
+        # a variant holds either kind of number
+        whole = (d == F.floor(d)) & (F.abs(d) < 1e15)
+        finite = ~F.isnan(d) & (F.abs(d) < float("inf"))
+        return F.parse_json(F.when(whole, d.cast("bigint").cast("string")).when(finite, d.cast("string")))
+    return c
+
+
 def json_text(df: DataFrame, omit_nulls: bool = False, pretty: bool = False) -> DataFrame:
-    """One JSON text a row; integral doubles print as integers."""
-    cols = [F.when(F.col(f.name) == F.floor(f.name), F.floor(f.name).cast("string")).otherwise(F.col(f.name).cast("string")).alias(f.name) for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    done = F.to_json(F.struct(*df.columns), {"ignoreNullFields": str(omit_nulls).lower(), "pretty": str(pretty).lower()})
-    return df.select((F.regexp_replace(done, r"(?<=[:\[,]-?\d{1,15})\.0(?=[,}\]\n])", "") if cols else done).alias("value"))
+    """One JSON text a row; integral doubles print as integers, those that are no number as
+    null.  Only numbers are rendered so, never what stands in a text."""
+    row = F.struct(*[_plain_numbers(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(F.to_json(row, {"ignoreNullFields": str(omit_nulls).lower(), "pretty": str(pretty).lower()}).alias("value"))
 
 
 def write_json(df: DataFrame, path: str, omit_nulls: bool = False) -> None:

@@ -1,6 +1,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from sparkweave.plans import documents as D
 from sparkweave.plans.validate import parse_schema, validate
 from sparkweave.sources import readers, writers
@@ -124,3 +126,52 @@ def test_exports(spark):
 
     d = Builder("d").set("a.b[0]", 1).set("a.b[1]", 2.5).set("c", True).set("n", None).set("gone", "x").without("gone").frame(spark)
     assert to_json(d).first()["value"] == '{"a": {"b": [1, 2.5]}, "c": true, "n": null}'
+
+
+def test_cycles_of_any_length(spark):
+    rows = [("d", f"c{n}_{k}", "reference", f"c{n}_{(k + 1) % n}") for n in (1, 2, 3, 5, 6, 11) for k in range(n)]
+    rows += [("d", f"t{k}", "reference", f"t{k + 1}") for k in range(70)] + [("d", "t70", "string", "end"), ("e", "x", "reference", "y"), ("e", "y", "string", "v")]
+    got = {(r["doc"], r["path"]) for r in validate(long(spark, rows), parse_schema("")).filter("code = 'V012'").collect()}
+    assert got == {("d", r[1]) for r in rows if r[1].startswith("c")}
+    ends = {r["path"]: (r["value"], r["cycle"]) for r in D.resolve(long(spark, rows)).collect()}
+    assert ends["t0"] == ("end", False) and ends["x"] == ("v", False) and ends["c5_2"] == (None, True)
+
+
+def test_formats(spark):
+    from sparkweave.plans.formats import meets
+
+    good = {
+        "email": ["a@b.c", ""], "url": ["http://x", "https://"], "uri": ["mailto:a", "x+y:"], "uuid": ["123e4567-e89b-12d3-a456-426614174000"], "hostname": ["a-b.c"], "date-time": ["2024-01-15T10:00:00Z"], "ipv4": ["0.10.255.1"],
+        "ipv6": ["::", "1::2", "1:2:3:4:5:6:7:8", "::1"], "phone": ["+1 (555) 123-4567"], "zip": ["12345", "12345-6789"], "date-iso": ["2024-01-15"], "naic": ["12345"], "fein": ["12-3456789"], "vin": ["1hgcm82633a004352"], "currency-code": ["USD"],
+        "country-alpha2": ["DE"], "country-alpha3": ["DEU"], "state-us": ["TX"], "credit-card": ["4111 1111 1111 1111"], "ssn": ["123-45-6789", "123456789"], "iban": ["DE89370400440532013000"], "swift": ["DEUTDEFF", "DEUTDEFF500"], "routing": ["123456789"],
+        "cusip": ["037833100"], "isin": ["US0378331005"], "lei": ["A" * 20], "npi": ["1234567890"], "dea": ["AB1234567"], "imei": ["1" * 15], "iccid": ["1" * 19], "no-such": ["anything"],
+    }
+    bad = {
+        "email": ["a@b", "@b.c", "a@@b.c", "a@.c"], "url": ["ftp://x"], "uri": ["1x:"], "uuid": ["123e4567"], "hostname": ["-a"], "datetime": ["2024-01-15"], "ipv4": ["256.1.1.1", "01.1.1.1", "1.1.1"], "ipv6": ["1::2::3", "1:2", ":::", "12345::"], "phone": ["123456", "1234567x"], "zip": ["1234"],
+        "date-iso": ["", "15.01.2024"], "naic": ["1234"], "fein": ["123456789"], "vin": ["IOQ00000000000000"], "currency-code": ["usd", "ZZZ"], "country-alpha2": ["XX", ""], "state-us": ["ZZ"], "creditcard": ["4111111111111112", "411"], "ssn": ["000-12-3456", "12-345-6789"], "iban": ["D1"], "bic": ["DEUT"], "routing": ["1"], "imei": ["1" * 14],
+    }
+    for want, cases in ((True, good), (False, bad)):
+        for name, values in cases.items():
+            d = spark.createDataFrame([(x,) for x in values], "v string").select("v", meets(F.col("v"), name).alias("ok"))
+            assert [r["v"] for r in d.collect() if r["ok"] != want] == [], name
+
+
+def test_decimal_places_and_bounds_of_moments(spark):
+    s = parse_schema("{}\na = #.2\nb = #$.2\nc = date:(2024-01-01..2024-12-31)\nd = ^:(2..4)\ne = timestamp:(..2024-06-01T00:00:00)\n")
+    ok = [("g", "a", "number", "1.25"), ("g", "b", "currency", "9.99:USD"), ("g", "c", "date", "2024-12-31"), ("g", "d", "binary", "SGVs"), ("g", "e", "timestamp", "2024-05-01T00:00:00")]
+    no = [("h", "a", "number", "1.2"), ("h", "b", "currency", "9:USD"), ("h", "c", "date", "2025-01-01"), ("h", "d", "binary", "SGVsbG8="), ("h", "e", "timestamp", "2024-07-01T00:00:00")]
+    got = {(r["doc"], r["path"], r["code"]) for r in validate(long(spark, ok + no), s).collect()}
+    assert got == {("h", p, "V003") for p in "abcde"}
+
+
+def test_malformed_documents_are_error_rows(spark, tmp_path):
+    d = spark.createDataFrame([("a", "x = ##1"), ("b", "x = bare"), ("c", None)], "doc string, text string")
+    rows = {(r["doc"], r["type"], r["modifiers"]) for r in readers.parse_native(d, "doc", "text").collect()}
+    assert rows == {("a", "integer", ""), ("b", "error", "P002")}
+    broken = readers.parse_texts(spark.createDataFrame([("a", "1"), ("b", "2")], "doc string, value string"), lambda t: 1 // (int(t) - 1)).collect()
+    assert [r["json"] for r in broken] == [None, "1"] and "ZeroDivisionError" in broken[0]["_error"]
+
+
+def test_json_numbers_inside_texts_stay(spark):
+    d = spark.createDataFrame([("ratio 3:1.0, ok", 2.0, 2.5, [1.0, 0.1], {"k": 3.0}, float("nan"), None)], "s string, a double, b double, c array<double>, m map<string,double>, n double, z double")
+    assert writers.json_text(d).first()["value"] == '{"s":"ratio 3:1.0, ok","a":2,"b":2.5,"c":[1,0.1],"m":{"k":3},"n":null,"z":null}'
