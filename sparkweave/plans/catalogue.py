@@ -384,4 +384,4 @@ def revenue_by_nation(spark, sf_dir):
     return j.groupBy("n_name").agg(r(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 2).alias("revenue"))
 
 
-from . import catalogue_language, catalogue_rows, catalogue_values  # noqa: E402,F401
+from . import catalogue_formats, catalogue_language, catalogue_rows, catalogue_values  # noqa: E402,F401

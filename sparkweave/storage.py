@@ -33,6 +33,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared one, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/sparkweave-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
