@@ -13,8 +13,18 @@ document each) to rows of its own table:
 Loops become a chain of ``posexplode``; conditions become filters or ``when``; verbs become
 columns; lookups in tables of the text become literal maps, in registered tables joins;
 accumulators become windows (read while looping) or aggregates (read later); passes order
-the segments.  Nothing runs row by row in Python, and a bad value ends in ``_errors``
-(code, field, message), never in an exception.
+the segments, and start with the accumulators' initial values unless these persist
+(``name.persist = ?true``).  Nothing runs row by row in Python, and a bad value ends in
+``_errors`` (code, field, message), never in an exception.
+
+Policies of ``{$target}``: ``onValidation``, ``onMissing`` and ``onError`` are ``fail`` (a
+row in ``_errors``), ``warn`` (one in ``_warnings``, which only then is a column) or ``skip``
+(neither; a value that fails its validation is null).  Unless named, validations and bad
+values fail, and a missing source is no error but for ``:required`` fields.
+
+Records of several types: with ``discriminator = ":pos 0 :len 2"`` or ``":field 0"`` under
+``{$source}``, the text column ``line`` says which segments take a row, those whose
+``_type`` names the record's type.
 """
 
 from __future__ import annotations
@@ -40,7 +50,7 @@ TEXT_ARITY = {
     "truncate": 2, "formatCurrency": 1, "formatLocaleNumber": 2, "sequence": 1, "accumulate": 2, "set": 2, "wrap": 3, "assert": 2,
     "sum": 1, "count": 1, "min": 1, "max": 1, "avg": 1, "uuid": 1, "coalesce": -1, "concat": -1, "cond": -1, "switch": -1, "minOf": -1, "maxOf": -1, "lookup": -1, "lookupDefault": -1,
 }
-TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "currency": "decimal(38,2)", "percent": "double", "string": "string"}
+TYPES = {"integer": "bigint", "number": "double", "boolean": "boolean", "date": "date", "timestamp": "timestamp", "currency": "decimal(38,2)", "percent": "double", "string": "string", "time": "string", "duration": "string", "reference": "string"}
 MAX_DEPTH = 32
 
 
@@ -90,6 +100,10 @@ class Transform:
     tables: dict[str, tuple[list[str], list[list]]]
     accumulators: dict[str, object]
     options: dict[str, object]
+    persistent: set[str] = field(default_factory=set)
+
+    def policy(self, name: str, otherwise: str) -> str:
+        return str(self.options.get(f"target.{name}", otherwise))
 
 
 def arity(verb: str) -> int:
@@ -127,6 +141,11 @@ def literal(t: str) -> Node:
 
 def parse_expression(source: str) -> tuple[Node, dict[str, str | bool]]:
     """(expression, trailing directives)."""
+    made = re.match(r":object\s*\{((?:[^{}\"]|\"(?:[^\"\\]|\\.)*\")*)\}\s*(.*)$", source.strip())
+    if made:
+        pairs = [p.partition("=") for p in re.findall(r"(?:[^,\"]|\"(?:[^\"\\]|\\.)*\")+", made[1]) if "=" in p]
+        node = Node("object", [k.strip() for k, _, _ in pairs], [parse_expression(v.strip())[0] for _, _, v in pairs])
+        return node, parse_expression(made[2])[1]
     ts = tokens(source)
     at = 0
 
@@ -282,8 +301,11 @@ def parse_transform(source: str) -> Transform:
             elif kind == "const":
                 out.constants[k] = plain(v)
             elif kind == "accumulator":
-                if "." not in k:
-                    out.accumulators[k] = plain(v)
+                name, _, setting = k.partition(".")
+                if not setting:
+                    out.accumulators[name] = plain(v)
+                elif setting == "persist" and plain(v) is True:
+                    out.persistent.add(name)
             else:
                 out.options[f"{kind}.{k}" if kind else k] = plain(v)
     return out
@@ -319,10 +341,32 @@ class Compiler:
     def run(self) -> dict[str, DataFrame]:
         order = sorted(range(len(self.t.segments)), key=lambda i: (self.t.segments[i].number or 10**9, i))
         before: Column | None = None
+        number = None
         for i in order:
-            before = self.segment(self.t.segments[i], before)
+            s = self.t.segments[i]
+            if number is not None and s.number != number:
+                # another pass: branches and accumulators start anew
+                before, self.totals = None, {k: v for k, v in self.totals.items() if k in self.t.persistent}
+            number = s.number
+            before = self.segment(s, before)
         return self.outputs
 
+    def records(self, s: Segment) -> DataFrame:
+        """The rows of the source that a segment takes."""
+        config = self.t.options.get("source.discriminator")
+        if not config:
+            return self.source
+        d = parse_expression(str(config))[1]
+        line = F.col("line")
+        if "field" in d:
+            kind = F.get(F.split(line, r"\Q" + str(self.t.options.get("source.delimiter", ",")) + r"\E", -1), F.lit(int(str(d["field"]))))
+        elif "pos" in d and "len" in d:
+            kind = F.substring(line, int(str(d["pos"])) + 1, int(str(d["len"])))
+        else:
+            raise TransformError("T010", f"no discriminator: {config}")
+        types = [t.strip() for m in s.mappings if m.target == "_type" for t in str(m.node.value).split(",")]
+        return self.source.filter(F.btrim(kind).isin(*types)) if types else self.source.filter(F.lit(False))
+
     # names -> columns
 
     def path(self, p: str, scope: dict) -> Column:
@@ -363,6 +407,8 @@ class Compiler:
             return F.concat_ws("", *parts, F.lit(n.value[at:].replace("\\${", "${")))
         if n.kind == "literal":
             return n.value
+        if n.kind == "object":
+            return F.struct(*[self.column(a, scope).alias(k) for k, a in zip(n.value, n.args, strict=True)])
         name = n.value.lstrip("&")
         if name in ("lookup", "lookupDefault"):
             return self.lookup(n, scope)
@@ -381,12 +427,13 @@ class Compiler:
         """Inside a loop: a running value; the final one is kept for later segments."""
         name = str(n.args[0].value).lstrip("@")
         c = self.column(n.args[1], scope)
-        start = self.t.accumulators.get(name, 0)
+        first = self.t.accumulators.get(name, 0)
+        start = scope["start"].get(name, F.lit(first))
         scope["sums"].append((name, verb, c))
         w = Window.partitionBy(self.doc).orderBy(*scope["order"]).rowsBetween(Window.unboundedPreceding, 0)
         if verb == "set":
             return c
-        run = F.concat(F.lit(start), F.array_join(F.collect_list(c).over(w), "")) if isinstance(start, str) else F.lit(start) + F.sum(c).over(w)
+        run = F.concat(start, F.array_join(F.collect_list(c).over(w), "")) if isinstance(first, str) else start + F.sum(c).over(w)
         scope["acc"][name] = run
         return run
 
@@ -430,11 +477,13 @@ class Compiler:
     # segments
 
     def segment(self, s: Segment, before: Column | None) -> Column | None:
-        df = self.source
-        scope = {"alias": {}, "out": {}, "special": {}, "acc": {}, "sums": [], "joins": [], "order": [], "item": F.struct(*[F.col(f"`{c}`") for c in self.source.columns])}
+        df = self.records(s)
+        scope = {"alias": {}, "out": {}, "special": {}, "acc": {}, "start": {}, "sums": [], "joins": [], "order": [], "item": F.struct(*[F.col(f"`{c}`") for c in self.source.columns])}
         for name, total in self.totals.items():
             df = df.join(total, self.doc, "left")
             scope["acc"][name] = F.coalesce(F.col(f"_acc_{name}"), F.lit(self.t.accumulators.get(name)))
+            if name in self.t.persistent:
+                scope["start"][name] = scope["acc"][name]
         for k, (p, alias) in enumerate(s.loops):
             array = self.path(p.lstrip("@"), scope)
             df = df.select("*", F.size(array).alias(f"_n{k}"), F.posexplode(array).alias(f"_i{k}", f"_x{k}"))
@@ -460,9 +509,10 @@ class Compiler:
             else:
                 df = df.filter(c)
                 chain = c
-        errors = []
+        errors: list[Column] = []
+        warnings: list[Column] = []
         for m in s.mappings:
-            scope["out"][m.target] = self.field(m, scope, errors)
+            scope["out"][target_key(m.target, scope["out"])] = self.field(m, scope, errors, warnings)
         for name, keys, result, alias in scope["joins"]:
             df = df.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
             table = self.tables[name]
@@ -472,15 +522,16 @@ class Compiler:
             for name, verb, c in scope["sums"]:
                 start = self.t.accumulators.get(name, 0)
                 last = F.max_by(c, F.struct(*scope["order"])) if scope["order"] else F.first(c)
-                agg = last if verb == "set" else F.lit(start) + F.sum(c)
+                agg = last if verb == "set" else F.first(scope["start"].get(name, F.lit(start))) + F.sum(c)
                 self.totals[name] = df.groupBy(self.doc).agg(agg.alias(f"_acc_{name}"))
         if not s.sink:
-            found = F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast(f"array<{ERROR}>")
+            told = lambda found: F.filter(F.array(*found), lambda e: e.isNotNull()) if found else F.array().cast(f"array<{ERROR}>")
+            notes = [told(warnings).alias("_warnings")] if any(self.t.policy(p, "") == "warn" for p in ("onValidation", "onMissing", "onError")) else []
             tree = nested({k: v for k, v in scope["out"].items() if not k.startswith("_")})
-            self.outputs[s.name] = df.select(self.doc, *[F.col(f"_i{k}").alias(f"_ord{k}") for k in range(len(s.loops))], *[v.alias(k) for k, v in tree.items()], found.alias("_errors"))
+            self.outputs[s.name] = df.select(self.doc, *[F.col(f"_i{k}").alias(f"_ord{k}") for k in range(len(s.loops))], *[v.alias(k) for k, v in tree.items()], told(errors).alias("_errors"), *notes)
         return chain
 
-    def field(self, m: Mapping, scope: dict, errors: list[Column]) -> Column:
+    def field(self, m: Mapping, scope: dict, errors: list[Column], warnings: list[Column]) -> Column:
         d = m.directives
         c = self.column(m.node, scope)
         if "field" in d:
@@ -492,27 +543,46 @@ class Compiler:
             c = call("trim", c)
         if "default" in d:
             c = F.coalesce(c, F.lit(literal(str(d["default"])).value))
-        say = lambda bad, code, what: errors.append(F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(m.target).alias("field"), F.lit(what).alias("message"))))
+
+        def say(bad: Column, code: str, what: str, policy: str = "fail") -> None:
+            row = F.when(F.coalesce(bad, F.lit(False)), F.struct(F.lit(code).alias("code"), F.lit(m.target).alias("field"), F.lit(what).alias("message")))
+            {"fail": errors, "warn": warnings}.get(policy, []).append(row)
+
         if "required" in d:
             say(c.isNull(), "T005", "a required value is missing")
+        elif m.node.kind == "path" and "default" not in d:
+            say(c.isNull(), "T005", "no value at the path", self.t.policy("onMissing", "skip"))
         for name, to in TYPES.items():
             if name in d:
+                if name == "currency" and "decimals" in d:
+                    to = f"decimal(38,{int(str(d['decimals']).lstrip('#'))})"
                 cast = text(c) if to == "string" else c.try_cast(to)
-                say(c.isNotNull() & cast.isNull(), "T002", f"no {name}")
+                say(c.isNotNull() & cast.isNull(), "T002", f"no {name}", self.t.policy("onError", "fail"))
                 c = cast
-        if "decimals" in d:
+        if "binary" in d:
+            c = F.encode(text(c), "UTF-8")
+        if "decimals" in d and "currency" not in d:
             c = F.round(c.cast("double"), int(str(d["decimals"]).lstrip("#")))
+        wrong = []
         if "enum" in d:
-            say(~text(c).isin(*[x.strip() for x in str(d["enum"]).split(",")]), "T013", "not among the values")
+            wrong.append((~text(c).isin(*[x.strip() for x in str(d["enum"]).split(",")]), "not among the values"))
         if "range" in d:
             lo, _, hi = str(d["range"]).partition("..")
             x = c.try_cast("double")
-            bad = F.lit(False)
+            bad = x.isNull() & c.isNotNull()
             bad = bad | (x < float(lo.lstrip("#"))) if lo else bad
             bad = bad | (x > float(hi.lstrip("#"))) if hi else bad
-            say(bad, "T013", "out of range")
+            wrong.append((bad, "out of range"))
         if "validate" in d:
-            say(~text(c).rlike(unquote(str(d["validate"]).strip('"'))), "T013", "no match")
+            wrong.append((~text(c).rlike(unquote(str(d["validate"]).strip('"'))), "no match"))
+        policy = self.t.policy("onValidation", "fail")
+        for bad, what in wrong:
+            say(bad, "T013", what, policy)
+        if policy == "skip":
+            for bad, _ in wrong:
+                c = F.when(F.coalesce(~bad, F.lit(True)), c)
+        if "currencyCode" in d:
+            c = F.when(c.isNotNull(), F.struct(c.alias("amount"), F.lit(str(d["currencyCode"]).strip('"')).alias("code")))
         if "confidential" in d:
             c = F.repeat(F.lit("*"), F.length(text(c))) if self.t.options.get("target.confidential") == "mask" else F.lit(None).cast("string")
         if "raw" in d:
@@ -548,17 +618,42 @@ def literal_lines(df: DataFrame, template: str) -> DataFrame:
     return df.select(F.concat(*parts, F.lit(template[at:])).alias("value"))
 
 
+STEP = re.compile(r"([^.\[\]]+)|\[(\d+)\]")
+
+
+def target_key(target: str, taken: dict) -> str:
+    """A target with ``[]`` appends: its place is the number of items before it."""
+    while "[]" in target:
+        head, _, rest = target.partition("[]")
+        used = {int(m[1]) for k in taken if (m := re.match(re.escape(head) + r"\[(\d+)\]", k))}
+        target = f"{head}[{max(used, default=-1) + 1}]{rest}"
+    return target
+
+
 def nested(flat: dict[str, Column]) -> dict[str, Column]:
-    """a.b targets as structs."""
+    """a.b targets as structs, a[0].b as arrays of them; places that no target fills are
+    null, and so are fields that an item of an array lacks."""
     tree: dict = {}
     for k, v in flat.items():
         here = tree
-        *parents, last = k.split(".")
+        *parents, last = [int(i) if i else name for name, i in STEP.findall(k)]
         for p in parents:
             here = here.setdefault(p, {})
         here[last] = v
-    build = lambda x: F.struct(*[build(v).alias(k) for k, v in x.items()]) if isinstance(x, dict) else x
-    return {k: build(v) for k, v in tree.items()}
+
+    def names(items: list) -> list:
+        return list(dict.fromkeys(k for x in items for k in x))
+
+    def build(x, like: list | None = None) -> Column:
+        if not isinstance(x, dict):
+            return x
+        if all(isinstance(k, int) for k in x):
+            items = [x.get(i) for i in range(max(x) + 1)]
+            dicts = [i for i in items if isinstance(i, dict) and not all(isinstance(k, int) for k in i)]
+            return F.array(*[F.lit(None) if i is None else build(i, names(dicts) if i in dicts else None) for i in items])
+        return F.struct(*[(build(x[k]) if k in x else F.lit(None)).alias(str(k)) for k in (like or x)])
+
+    return {str(k): build(v) for k, v in tree.items()}
 
 
 def execute(source: str, df: DataFrame, doc: str, tables: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:

@@ -89,3 +89,65 @@ def test_text_directives_failures_and_lines(docs):
     assert literal_lines(out["out"], "A:${a};${b}").first()[0] == "A:cd;cde"
     with pytest.raises(TransformError):
         literal_lines(out["out"], "${a${b}}")
+
+
+def test_policies_of_validation_and_missing_values(docs):
+    body = '{out}\na = @x :range 1..5\nb = @k :enum P,Q\nc = @gone\nd = @k :integer\n'
+    r = execute(body, docs, "doc")["out"].first()
+    assert {(e["code"], e["field"]) for e in r["_errors"]} == {("T013", "a"), ("T013", "b"), ("T002", "d")} and "_warnings" not in r.asDict()
+    r = execute('{$target}\nonValidation = "warn"\nonMissing = "warn"\n' + body, docs, "doc")["out"].first()
+    assert (r["a"], r["b"]) == (7, "A") and {(e["code"], e["field"]) for e in r["_warnings"]} == {("T013", "a"), ("T013", "b"), ("T005", "c")} and [e["field"] for e in r["_errors"]] == ["d"]
+    r = execute('{$target}\nonValidation = "skip"\nonMissing = "fail"\nonError = "skip"\n' + body, docs, "doc")["out"].first()
+    assert (r["a"], r["b"], r["d"]) == (None, None, None) and [(e["code"], e["field"]) for e in r["_errors"]] == [("T005", "c")]
+
+
+def test_accumulators_start_anew_in_a_pass_unless_they_persist(docs):
+    t = """{$accumulator}
+t = ##0
+p = ##0
+p.persist = ?true
+{_a[]}
+_pass = ##1
+:loop items
+_1 = %accumulate t @.amount
+_2 = %accumulate p @.amount
+{first}
+_pass = ##1
+t = @$accumulator.t
+p = @$accumulator.p
+{_b[]}
+_pass = ##2
+:loop items
+_2 = %accumulate p ##1
+{second}
+_pass = ##2
+t = @$accumulator.t
+p = @$accumulator.p
+"""
+    out = execute(t, docs, "doc")
+    a, b = out["first"].first(), out["second"].first()
+    assert (a["t"], a["p"]) == (60, 60) and (b["t"], b["p"]) == (0, 63)
+
+
+def test_records_are_routed_by_type(spark):
+    lines = spark.createDataFrame([(1, "H,7,x"), (2, "L,8,y"), (3, "M,9,z"), (4, "Q,1,w")], "doc int, line string")
+    t = '{$source}\ndiscriminator = ":field 0"\n{heads[]}\n_type = "H"\nid = @line :field 1 :integer\n{lines[]}\n_type = "L, M"\nname = @line :field 2\n'
+    out = execute(t, lines, "doc")
+    assert [r["id"] for r in out["heads"].collect()] == [7] and sorted(r["name"] for r in out["lines"].collect()) == ["y", "z"]
+    fixed = spark.createDataFrame([(1, "AB  one"), (2, "CD  two")], "doc int, line string")
+    out = execute('{$source}\ndiscriminator = ":pos 0 :len 2"\n{a[]}\n_type = "AB"\nv = @line :pos 4 :len 3\n', fixed, "doc")
+    assert [r["v"] for r in out["a"].collect()] == ["one"]
+
+
+def test_objects_indices_and_appended_items(docs):
+    t = '{out}\no = :object {k = @k, up = %upper "a, b", n = ##3}\nrows[1].a = @x\nrows[0].b = "z"\ntags[] = "p"\ntags[] = "q"\nlast = @x\n'
+    r = execute(t, docs, "doc")["out"].first()
+    assert r["o"].asDict() == {"k": "A", "up": "A, B", "n": 3} and r["tags"] == ["p", "q"] and r["last"] == 7
+    assert [x.asDict() for x in r["rows"]] == [{"a": None, "b": "z"}, {"a": 7, "b": None}]
+
+
+def test_types_of_directives(docs):
+    t = '{out}\na = "10:30" :time\nb = "P1D" :duration\nc = "x.y" :reference\nd = "hi" :binary\ne = "9.5" :currency :decimals 3 :currencyCode "EUR"\nf = "oops" :currency\n'
+    r = execute(t, docs, "doc")["out"].first()
+    assert (r["a"], r["b"], r["c"], bytes(r["d"])) == ("10:30", "P1D", "x.y", b"hi") and (str(r["e"]["amount"]), r["e"]["code"]) == ("9.500", "EUR")
+    assert r["f"] is None and [(e["code"], e["field"]) for e in r["_errors"]] == [("T002", "f")]
