@@ -14,6 +14,8 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: its group of equal texts, the row that stays, the text's SHA-256.
+    Null counts as empty, repeated rows are members of their group, one of them stays."""
     return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
 
 
@@ -26,6 +28,8 @@ from d
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``pages``: host, path, the longest rule that fits, the verdict.  Null or a URL
+    without ``://``: empty host and path."""
     return urls.filter_urls(read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -46,14 +50,19 @@ select page_id, host, path, case {rule} end as rule, case {verdict} when {other}
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: the size of its shingle set and its component.  Null, empty or
+    blank text: 0 shingles, linked with nothing."""
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: tokens, length bucket, batch and slot.  Null text has 0 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: the predicted language, from rows outside the held-out fold.  Null
+    text or no letter: ``und``."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.Model(langid.fit(docs.filter(crc_mod5(F.col("doc_id")) != 0)))
     out = langid.predict(docs.select("doc_id", "text"), model)
@@ -61,6 +70,8 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: the benchmark items whose passages it holds.  Null and empty texts
+    hold none."""
     docs, items = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
     found = decontam.find_leaks(docs, items)
     return found.select(
@@ -70,10 +81,14 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeated_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    """Every row of ``documents``: bytes, bytes in repeated 400-byte strings, their runs, what is
+    left, and runs of words that other rows hold.  Null counts as empty."""
+    return suffix.repeated_spans(read(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_passages")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: the score, learnt from labels outside the held-out fold.  Null and
+    empty texts get the score of no evidence."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs.filter(crc_mod5(F.col("doc_id")) != 0), read(spark, sf_dir, "labels"))
     out = toxicity.score(docs, model)
@@ -81,10 +96,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: base and model score, learnt outside the held-out fold.  Null text
+    is one token, the end."""
     return lm.score(read(spark, sf_dir, "documents"), crc_mod5(F.col("doc_id")) == 1)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``: lines, lines dropped, what is left.  Null text has no line."""
     return linededup.drop_lines(read(spark, sf_dir, "documents")).drop("kept_text")
 
 

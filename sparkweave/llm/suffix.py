@@ -25,6 +25,12 @@ Every byte covered by a ``width``-byte string that starts anywhere else too is r
 Equality is that of 64-bit hashes of parts (four of them for an open window, a 64-bit chunk
 hash and the anchor's for a closed one), not of bytes.
 
+Beside it, passages by words: ``passage`` words, 50 if not said otherwise, are often fewer
+than ``width`` bytes.  Of every run of so many words the least hash among its runs of
+``passage * 3 // 5`` words is kept (winnowing), so two documents that share ``passage``
+words share a kept run, and documents that share a kept run share that many words.
+``n_passages`` counts a document's kept runs that other rows hold too.
+
 Defined cases: null counts as empty (0 bytes, nothing removed); texts shorter than ``width``
 stay whole; a repeated row is text that starts elsewhere too; overlapping repeats inside one
 text count; an empty table gives an empty result; further columns are not carried here but
@@ -218,9 +224,36 @@ def found_in(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x
 
 
-RESULT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,end:bigint>>, kept binary"
+def passages(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the kept runs of words of each row, each once."""
+    gram = words * 3 // 5
+    span = words - gram + 1
+    low = np.uint64((1 << 26) - 1)
+    keys, rows = [], []
+    for first, data, off in W.parts(column):
+        h, _, _, woff = W.words(data, off)
+        n = len(h) - gram + 1
+        if n < span:
+            continue
+        at = np.arange(n)
+        g = W.mix(W.span_hash(h, at, at + gram))
+        own = np.repeat(np.arange(len(woff) - 1), np.diff(woff))
+        whole = own[: n - span + 1] == own[words - 1 : words + n - span]  # windows inside one row
+        head = np.flatnonzero(whole)
+        kept = (window_least((g & ~low) | at.astype(np.uint64), span)[head] & low).astype(np.int64)
+        new = np.concatenate([[True], kept[1:] != kept[:-1]]) if len(kept) else np.zeros(0, bool)
+        kept, row = kept[new], own[head[new]]
+        order = np.lexsort((g[kept], row))
+        k, r = g[kept][order], row[order]
+        once = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])]) if len(k) else np.zeros(0, bool)
+        keys.append(k[once])
+        rows.append(r[once] + first)
+    return (np.concatenate(keys), np.concatenate(rows)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+RESULT = "n_passages bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<first:bigint,end:bigint>>, kept binary"
 _SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
-_RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS), ("kept", pa.binary())]
+_RESULT = [("n_passages", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", _SPANS), ("kept", pa.binary())]
 
 
 def result(raw: bytes, first: np.ndarray, end: np.ndarray, keep_text: bool) -> dict:
@@ -236,8 +269,8 @@ def result(raw: bytes, first: np.ndarray, end: np.ndarray, keep_text: bool) -> d
     }
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 320, block_bytes: int = 8 << 20, slice_entries: int = 100_000, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (the remaining bytes if
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 400, gram: int = 320, block_bytes: int = 8 << 20, slice_entries: int = 100_000, keep_text: bool = False, passage: int = 50) -> DataFrame:
+    """doc_id, n_passages, n_bytes, n_removed, n_spans, kept_sha256, spans, kept (the remaining bytes if
     ``keep_text``, else null) for every row.  Spans are in bytes of the UTF-8 text."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -260,6 +293,21 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if ks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ks).view(np.int64)), pa.array(np.concatenate(cs).view(np.int64)), pa.array(np.concatenate(bs))], names=["k", "c", "block"])
 
+    def count_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f, row = passages(batch.column(0), passage)
+            block = batch.column(1).to_numpy()[row]
+            order = np.lexsort((f, block))
+            f, block = f[order], block[order]
+            head = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (block[1:] != block[:-1])])) if len(f) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(f[head].view(np.int64)), pa.array(block[head]), pa.array(np.diff(np.append(head, len(f))))], names=["f", "block", "n"])
+
+    # rows that hold a run: one row a batch and block on the way, whatever the run's frequency
+    runs_of = cut(ship(data.select("b", "block")).mapInArrow(count_passages, "f bigint, block int, n bigint"), "passages")
+    twice = runs_of.groupBy("f").agg(F.sum("n").alias("n")).filter("n > 1").select("f")
+    shared = cut(runs_of.select("f", "block").distinct().join(twice.hint("merge"), "f"), "shared")
+    drop(runs_of)
+    tidy(spark)
     found = ship(data.select("b", "block")).mapInArrow(count_anchors, "k bigint, c bigint, block int")
     state = cut(found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("n > 1").select("k", (F.col("c0") != F.col("c1")).alias("open")), "state")
     tidy(spark)
@@ -268,8 +316,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tidy(spark)
     open_ = hits.filter("open").select("block", "k", "c")
     chunks = cut(open_.groupBy("k", "c").agg((F.count(F.lit(1)) > 1).alias("repeats"), F.min("block").alias("owner")), "chunks")
-    asked = open_.join(chunks.hint("merge"), ["k", "c"]).select("block", F.col("c").alias("key"), F.lit(True).alias("open"), "repeats", (F.col("owner") == F.col("block")).alias("lend"))
-    asked = cut(asked.unionByName(hits.filter("not open").select("block", F.col("k").alias("key"), F.lit(False).alias("open"), F.lit(True).alias("repeats"), F.lit(False).alias("lend"))), "asked")
+    no = F.lit(False)
+    asked = open_.join(chunks.hint("merge"), ["k", "c"]).select("block", F.col("c").alias("key"), F.lit(True).alias("open"), "repeats", (F.col("owner") == F.col("block")).alias("lend"), no.alias("passage"))
+    asked = asked.unionByName(hits.filter("not open").select("block", F.col("k").alias("key"), no.alias("open"), F.lit(True).alias("repeats"), no.alias("lend"), no.alias("passage")))
+    asked = cut(asked.unionByName(shared.select("block", F.col("f").alias("key"), no.alias("open"), F.lit(True).alias("repeats"), no.alias("lend"), F.lit(True).alias("passage"))), "asked")
+    drop(shared)
     n_sent = chunks.count() * (width - gram + 1) // 2
     bits = max(4, min(24, (n_sent // slice_entries).bit_length()))
     drop(hits, chunks)
@@ -280,13 +331,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         windows of the others; the block's sorted run of suffixes, in slices."""
         block = int(key[0].as_py())
         keys = right.column("key").to_numpy().view(np.uint64)
-        flag = [np.asarray(right.column(c).to_pylist(), dtype=bool) for c in ("open", "repeats", "lend")]
+        flag = [np.asarray(right.column(c).to_pylist(), dtype=bool) for c in ("open", "repeats", "lend", "passage")]
+        held, which = passages(left.column("b"), passage)
+        n_passages = np.bincount(which[np.isin(held, keys[flag[3]])], minlength=left.num_rows).tolist()
+        keys, flag = keys[~flag[3]], [f[~flag[3]] for f in flag]
         closed = np.unique(keys[~flag[0]])
         chunk, at = np.unique(keys[flag[0]], return_index=True)
         repeats, lend = flag[1][flag[0]][at], flag[2][flag[0]][at]
         lent: set[int] = set()
         out, xs, weights, pending, n_x = [], [], [], [], 0
-        for did, x in zip(left.column("doc_id"), left.column("b"), strict=True):
+        for did, x, n_own in zip(left.column("doc_id"), left.column("b"), n_passages, strict=True):
             raw = x.as_py()
             b = np.frombuffer(raw, np.uint8)
             lo = hi = p0 = p1 = np.zeros(0, np.int64)
@@ -308,12 +362,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 lo, hi = first[settled], last[settled] + width
             if len(p0):
                 starts = expand(p0, p1)
-                pending.append((did.as_py(), raw, lo, hi, p0, p1, n_x, len(starts)))
+                pending.append((did.as_py(), n_own, raw, lo, hi, p0, p1, n_x, len(starts)))
                 xs.append(letters(t, starts, width))
                 weights.append(np.ones(len(starts), np.int64))
                 n_x += len(starts)
             else:
-                out.append({"kind": "final", "doc_id": did.as_py(), **result(raw, lo, hi, keep_text)})
+                out.append({"kind": "final", "doc_id": did.as_py(), "n_passages": n_own, **result(raw, lo, hi, keep_text)})
         if xs:
             x = np.concatenate(xs)
             order, lcp = sort_suffixes(x)
@@ -322,8 +376,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rank[order] = np.cumsum(new) - 1
             y, lcp = x[order][new], lcp[new]
             times = np.minimum(np.bincount(rank, weights=np.concatenate(weights)), 2).astype(np.uint8)
-            for did, raw, lo, hi, p0, p1, at, n in pending:
-                out.append({"kind": "doc", "doc_id": did, "block": block, "b": raw, "lo": lo.tobytes(), "hi": hi.tobytes(), "p0": p0.tobytes(), "p1": p1.tobytes(), "ranks": rank[at : at + n].tobytes()})
+            for did, n_own, raw, lo, hi, p0, p1, at, n in pending:
+                out.append({"kind": "doc", "doc_id": did, "n_passages": n_own, "block": block, "b": raw, "lo": lo.tobytes(), "hi": hi.tobytes(), "p0": p0.tobytes(), "p1": p1.tobytes(), "ranks": rank[at : at + n].tobytes()})
             of = (y[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
             heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
             for lo, hi in zip(heads.tolist(), [*heads[1:].tolist(), len(of)], strict=True):
@@ -353,12 +407,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for x in got:
             yes[x] = True
         out = []
-        for did, raw, *spans in zip(*(left.column(c).to_pylist() for c in ("doc_id", "b", "lo", "hi", "p0", "p1", "ranks")), strict=True):
+        for did, n_own, raw, *spans in zip(*(left.column(c).to_pylist() for c in ("doc_id", "n_passages", "b", "lo", "hi", "p0", "p1", "ranks")), strict=True):
             lo, hi, p0, p1 = (np.frombuffer(x, np.int64) for x in spans[:4])
             more = expand(p0, p1)[yes[np.minimum(np.frombuffer(spans[4], np.int32), top + 1)]]
-            out.append({"doc_id": did, **result(raw, np.concatenate([lo, more]), np.concatenate([hi, more + width]), keep_text)})
+            out.append({"doc_id": did, "n_passages": n_own, **result(raw, np.concatenate([lo, more]), np.concatenate([hi, more + width]), keep_text)})
         return pa.table({n: pa.array([r[n] for r in out], t) for n, t in [("doc_id", left.column("doc_id").type), *_RESULT]})
 
-    rows = judged.filter("kind = 'doc'").select("block", "doc_id", "b", "lo", "hi", "p0", "p1", "ranks")
+    rows = judged.filter("kind = 'doc'").select("block", "doc_id", "n_passages", "b", "lo", "hi", "p0", "p1", "ranks")
     late = rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(finish, f"doc_id {id_type}, {RESULT}")
     return judged.filter("kind = 'final'").select(*late.columns).unionByName(late)
