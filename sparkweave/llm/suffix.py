@@ -230,7 +230,7 @@ def passages(column: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     span = words - gram + 1
     low = np.uint64((1 << 26) - 1)
     keys, rows = [], []
-    for first, data, off in W.parts(column):
+    for first, data, off in W.parts(column, 1 << 20):  # small parts: a worker's memory follows their size
         h, _, _, woff = W.words(data, off)
         n = len(h) - gram + 1
         if n < span:
