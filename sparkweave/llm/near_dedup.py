@@ -14,10 +14,10 @@
    nodes of other components link to it.  Each pair is confirmed on the full sets and links
    are contracted to components.  Stars only shrink the buckets: they end when a round adds
    few links.
-4. Every bucket that still holds several components is finished exactly: all its pairs of
-   nodes of different components that were not compared yet are confirmed, but those whose
-   set sizes rule a link out.  So every pair of nodes that shares a bucket is compared or in
-   one component.
+4. Buckets that still hold several components are finished exactly, without all their
+   pairs: their nodes are joined on the rarest shingles of their sets (prefix filtering, which
+   loses no link), and the pairs of different components that this shows are confirmed.
+   So every two linked nodes that share a bucket end in one component.
 5. Components: alternating large-star and small-star, all distributed; every join reads
    plain tables on both sides so that adaptive execution can split hot keys.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -177,18 +177,43 @@ def joined(label: DataFrame | None, new: DataFrame, rows: int) -> DataFrame:
     return cut(moved.unionByName(up.join(label.select("node").hint("merge"), "node", "left_anti").select("node", "label")), "labels", rows)
 
 
-def rest(own: DataFrame, percent: int, rows: int, block: int = 500) -> DataFrame:
-    """All pairs (a, b) of nodes that share a bucket under different labels and whose sizes
-    allow a link, from rows (bucket, node, size, label).  The nodes outside a bucket's most
-    frequent label meet all others; they are dealt to blocks of about ``block``."""
-    per = own.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-    top = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("top"), (F.sum("n") - F.max("n")).alias("others"), F.count(F.lit(1)).alias("labels")).filter("labels > 1")
-    top = cut(top.select("bucket", "top", F.ceil(F.col("others") / block).cast("int").alias("blocks")), "tops", rows)
-    left = cut(own.join(top.hint("merge"), "bucket"), "open", rows)
-    one = cut(left.filter("label <> top").select("bucket", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"), F.col("node").alias("x"), F.col("size").alias("sx"), F.col("label").alias("lx")), "one", rows)
-    all_ = cut(left.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("node").alias("y"), F.col("size").alias("sy"), F.col("label").alias("ly"), "top"), "all")
-    both = one.join(all_.hint("merge"), ["bucket", "block"]).filter((F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("top")) | (F.col("x") < F.col("y"))) & (100 * F.least("sx", "sy") >= percent * F.greatest("sx", "sy")))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def rest(own: DataFrame, texts: DataFrame, size: int, percent: int, rows: int) -> DataFrame:
+    """Pairs (a, b) of different labels among the nodes of buckets that hold several labels,
+    from rows (bucket, node, size, label): all that can be links, by prefix filtering.
+
+    Sets are put in one order, rare shingles first.  Of two linked sets x and y, x not the
+    larger, with at least ``need`` common shingles, the first of these is among the first
+    |x| - need + 1 of x and |y| - need + 1 of y; what follows it must suffice for the others.
+    Shingles that only one set has link nothing and are not even shuffled back."""
+    of = lambda c: F.ceil(F.lit(percent) * c / 100).cast("int")  # noqa: E731  least overlap for any partner
+    both = lambda c: F.ceil(F.lit(percent) * c / (100 + percent)).cast("int")  # noqa: E731  c: the sum of both sizes
+    several = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    who = cut(own.join(cut(several, "several", rows).hint("merge"), "bucket").select("node", "size", "label").distinct(), "open", rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                b = batch.slice(lo, 500)
+                sets = list(W.shingle_sets(b.column(1), size))
+                at = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+                h = np.concatenate(sets).view(np.int64)
+                for k in range(0, len(h), 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k : k + 100_000]), b.column(0).take(at.slice(k, 100_000))], names=["h", "node"])
+
+    every = cut(ship(texts.join(who.select("node").hint("merge"), "node").select("node", "text")).mapInArrow(run, "h bigint, node binary"), "shingles")
+    often = cut(every.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "often")
+    found = cut(every.join(often.hint("merge"), "h"), "common")
+    node = Window.partitionBy("node")
+    found = found.withColumn("k", F.row_number().over(node.orderBy("n", "h"))).withColumn("own", F.count(F.lit(1)).over(node))
+    # at: how many shingles of the set come before this one
+    found = found.join(who.hint("merge"), "node").withColumn("at", (F.col("size") - F.col("own") + F.col("k") - 1).cast("int"))
+    found = cut(found.filter(F.col("at") <= F.col("size") - of(F.col("size"))).select("h", "node", "size", "label", "at"), "prefixes")
+    x = found.filter(F.col("at") <= F.col("size") - both(2 * F.col("size"))).select("h", *(F.col(c).alias(f"{c}_x") for c in ("node", "size", "label", "at")))
+    need = both(F.col("size") + F.col("size_x"))
+    order = (F.col("size_x") < F.col("size")) | ((F.col("size_x") == F.col("size")) & (F.col("node_x") < F.col("node")))
+    fits = (100 * F.col("size_x") >= percent * F.col("size")) & (F.least(F.col("size_x") - F.col("at_x"), F.col("size") - F.col("at")) >= need)
+    pairs = x.join(found.hint("merge"), "h").filter((F.col("label_x") != F.col("label")) & order & fits)
+    return pairs.select(F.least("node", "node_x").alias("a"), F.greatest("node", "node_x").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75, bins: int = BINS, rows: int = ROWS) -> DataFrame:
@@ -240,7 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if FEW * n_new < n_pairs:
             break
     if seen is not None:  # what no centre showed
-        pairs = cut(rest(labelled(label), percent, n_members).join(seen, ["a", "b"], "left_anti"), "pairs")
+        pairs = cut(rest(labelled(label), texts, size, percent, n_members).join(seen, ["a", "b"], "left_anti"), "pairs")
         n_pairs = pairs.count()
         new = cut(confirm(pairs, texts, size, percent), "links", n_pairs, 2000)
         if new.limit(1).count():
