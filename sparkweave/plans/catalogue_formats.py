@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import readers, writers
@@ -123,6 +123,34 @@ def export_json(spark, sf_dir):
     return d.select("doc", "v.Who.nation", c("v.Who.tags")[0].alias("tag"), "v.balance")
 
 
+def histories(spark, sf_dir) -> DataFrame:
+    """A document for each customer with orders; every third order states its priority."""
+    o = read(spark, sf_dir, "orders").select(c("o_custkey").cast("string").alias("doc"), (F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1).alias("k"), "o_orderkey", "o_totalprice", "o_orderpriority")
+    cells = [("key", "integer", c("o_orderkey").cast("string")), ("total", "currency", F.concat(F.floor("o_totalprice").cast("string"), F.lit(".00:USD"))), ("priority", "string", F.when(c("o_orderkey") % 3 == 0, F.concat("o_orderpriority", F.lit(', "p"'))))]
+    rows = F.array(*[F.struct((c("k") * 3 + i).cast("bigint").alias("ord"), F.concat(F.lit("orders["), "k", F.lit(f"].{n}")).alias("path"), F.lit(t).alias("type"), v.alias("value"), F.lit("").alias("modifiers")) for i, (n, t, v) in enumerate(cells)])
+    return o.select("doc", F.inline(rows)).filter("value is not null")
+
+
+@query("export_csv", """with o as (select o_custkey::varchar as doc, o_orderkey as k, floor(o_totalprice)::bigint as t, case when o_orderkey % 3 = 0 then '"' || o_orderpriority || ', ""p""' || '"' end as p, row_number() over (partition by o_custkey order by o_orderkey) as i from orders),
+    h as (select doc, min(case when p is not null then i end) as f from o group by 1)
+    select doc, 'key,total' || case when any_value(f) is not null then ',priority' else '' end || chr(10) || string_agg(k || ',' || t || case when f is not null then ',' || coalesce(p, '') else '' end, chr(10) order by i) || chr(10) as value from o join h using (doc) group by doc""")
+def export_csv(spark, sf_dir):
+    """Items of an array of records under the union of their fields."""
+    return exports.to_csv(histories(spark, sf_dir))
+
+
+@query("export_xml", """select c_custkey::varchar as doc, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<customer xmlns:doc="urn:document">' || chr(10) || '  <balance doc:type="number">' || c_acctbal || '</balance>' || chr(10) || '  <Who>' || chr(10) || '    <name>' || replace(c_name, '&', '&amp;') || '&quot;q&quot;' || chr(10) || '</name>' || chr(10)
+    || '    <nation doc:type="integer">' || c_nationkey || '</nation>' || chr(10) || '    <tags_0_>' || c_mktsegment || '</tags_0_>' || chr(10) || '  </Who>' || chr(10) || '</customer>' || chr(10) as value from customer""")
+def export_xml(spark, sf_dir):
+    return exports.to_xml(natural(spark, sf_dir), "customer", types=True)
+
+
+@query("export_fixed_width", "select c_custkey::varchar as doc, lpad(c_nationkey::varchar, 4, '0') || '  ' || rpad(substr(c_mktsegment, 1, 6), 6, ' ') || '........' as value from customer")
+def export_fixed_width(spark, sf_dir):
+    line = exports.to_fixed_width(natural(spark, sf_dir), [("Who.nation", 0, 4, "0", "left"), ("Who.tags[0]", 6, 6, " ", "right"), ("none", 12, 8, ".", "right")], 20)
+    return line
+
+
 @query("export_wide", "select c_custkey::varchar as doc, c_nationkey::varchar as nation, c_mktsegment as tag from customer")
 def export_wide(spark, sf_dir):
     w = writers.wide(natural(spark, sf_dir), ["Who.nation", "Who.tags[0]"])

@@ -128,6 +128,23 @@ def test_exports(spark):
     assert to_json(d).first()["value"] == '{"a": {"b": [1, 2.5]}, "c": true, "n": null}'
 
 
+def test_text_exports(spark):
+    from sparkweave.plans.exports import to_csv, to_fixed_width, to_xml
+
+    rows = [("d", 0, "$.id", "string", "m", ""), ("d", 1, "a b", "string", "x<y", "required"), ("d", 2, "r[1].q", "number", "2.50", ""), ("d", 3, "r[0].p", "string", 'say "hi"', ""), ("d", 4, "r[0].q", "null", None, ""), ("d", 5, "s.1", "currency", "3.10:EUR", "confidential deprecated"), ("d", 6, "s.t", "reference", "r", "")]
+    rows += [("e", 0, "p", "boolean", "true", ""), ("e", 1, "q", "percent", "4.0", ""), ("m", 0, "$.id", "string", "only", "")]
+    d = spark.createDataFrame(rows, "doc string, ord bigint, path string, type string, value string, modifiers string").repartition(3)
+    of = lambda df: {r["doc"]: r["value"] for r in df.collect()}
+    assert of(to_csv(d)) == {"d": 'p,q\n"say ""hi""",\n,2.5\n', "e": "p,q\ntrue,4\n", "m": ""}
+    assert of(to_csv(d, ";", False, "none"))["d"] == "x<y;3.1;@r\n"
+    assert of(to_xml(d, modifiers=True)) == {
+        "d": '<?xml version="1.0" encoding="UTF-8"?>\n<root xmlns:doc="urn:document">\n  <a_b doc:required="true">x&lt;y</a_b>\n  <r_1_>\n    <q doc:type="number">2.50</q>\n  </r_1_>\n  <r_0_>\n    <p>say &quot;hi&quot;</p>\n  </r_0_>\n  <s>\n    <_1 doc:type="currency" doc:currencyCode="EUR" doc:confidential="true" doc:deprecated="true">3.10</_1>\n    <t doc:type="reference">@r</t>\n  </s>\n</root>\n'.replace("r_1_>", "r[1]>").replace("r_0_>", "r[0]>"),
+        "e": '<?xml version="1.0" encoding="UTF-8"?>\n<root xmlns:doc="urn:document">\n  <p doc:type="boolean">true</p>\n  <q doc:type="percent">4.0</q>\n</root>\n',
+        "m": '<?xml version="1.0" encoding="UTF-8"?>\n<root xmlns:doc="urn:document">\n</root>\n',
+    }
+    assert of(to_fixed_width(d, [("q", 2, 3, "0", "left"), ("a b", 5, 2, " ", "right")], 6)) == {"d": "  000x", "e": "  004 ", "m": "  000 "}
+
+
 def test_cycles_of_any_length(spark):
     rows = [("d", f"c{n}_{k}", "reference", f"c{n}_{(k + 1) % n}") for n in (1, 2, 3, 5, 6, 11) for k in range(n)]
     rows += [("d", f"t{k}", "reference", f"t{k + 1}") for k in range(70)] + [("d", "t70", "string", "end"), ("e", "x", "reference", "y"), ("e", "y", "string", "v")]
