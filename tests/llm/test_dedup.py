@@ -4,11 +4,12 @@ from collections import defaultdict
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 from cases import EDGE
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from sparkweave.llm import entry, exact_dedup, linededup, near_dedup, suffix
+from sparkweave.llm import entry, exact_dedup, linededup, near_dedup, suffix, words
 
 
 def against_sql(spark, sf, name):
@@ -62,6 +63,27 @@ def test_near_brute(spark, sf):
     assert got == want
 
 
+def test_near_rest_shows_every_link_of_a_crowded_bucket(spark):
+    """One bucket of windows of a common text, with own words mixed in: all links, ties at
+    exactly 75 % among them, are shown; most other pairs are not."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (5, 7, 8, 9, 64, 79, 104)]
+    for i in range(150):
+        at, n, own = rng.integers(0, 30), rng.integers(5, 90), rng.integers(0, 25)
+        texts.append(" ".join([f"w{k}" for k in range(at, at + n)] + [f"own{i}_{k}" for k in range(own)]))
+    nodes = {near_dedup.node_of(x): (t, x) for t, x in zip(texts, words.shingle_sets(pa.array(texts)), strict=True)}
+    share = lambda x, y: (100 * len(np.intersect1d(x, y)), 75 * len(np.union1d(x, y)))
+    ids = sorted(nodes)
+    links = {(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if share(nodes[a][1], nodes[b][1])[0] >= share(nodes[a][1], nodes[b][1])[1]}
+    assert any(share(nodes[a][1], nodes[b][1])[0] == share(nodes[a][1], nodes[b][1])[1] for a, b in links)
+    own = spark.createDataFrame([(1, bytearray(n), len(x), bytearray(n)) for n, (_, x) in nodes.items()], "bucket bigint, node binary, size bigint, label binary")
+    data = spark.createDataFrame([(bytearray(n), t) for n, (t, _) in nodes.items()], "node binary, text string")
+    shown = near_dedup.rest(own, data, 5, 75, len(nodes))
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in shown.collect()}
+    assert links <= got and len(got) < len(ids) * (len(ids) - 1) / 4
+    assert {(bytes(r["a"]), bytes(r["b"])) for r in near_dedup.confirm(shown, data, 5, 75).collect()} == links
+
+
 def test_near_links_of_small_components_in_crowded_buckets(spark):
     """Groups of six near copies whose two buckets also hold a pair of near copies of its own."""
     rng = np.random.default_rng(7)
