@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import settle, shuffled
 
 VALUE = ["type", "value"]
 
@@ -31,14 +31,14 @@ def diff(a: DataFrame, b: DataFrame) -> DataFrame:
 def patch(a: DataFrame, d: DataFrame) -> DataFrame:
     """patch(a, diff(a, b)) has the rows of b."""
     out_of = d.filter("op in ('removed', 'changed')").select("doc", "path").unionByName(d.filter("op = 'moved'").select("doc", F.col("from_path").alias("path")))
-    kept = a.select("doc", "path", *VALUE).join(out_of, ["doc", "path"], "left_anti")
+    kept = a.select("doc", "path", *VALUE).join(shuffled(out_of), ["doc", "path"], "left_anti")
     return kept.unionByName(d.filter("op <> 'removed'").select("doc", "path", *VALUE))
 
 
 def missing(a: DataFrame, d: DataFrame) -> DataFrame:
     """Changes whose path is not in ``a``: a patch that does not fit."""
     need = d.filter("op in ('removed', 'changed', 'moved')").select("doc", F.coalesce("from_path", "path").alias("path"))
-    return need.join(a.select("doc", "path"), ["doc", "path"], "left_anti")
+    return need.join(shuffled(a.select("doc", "path")), ["doc", "path"], "left_anti")
 
 
 def overlay(chain: DataFrame) -> DataFrame:
@@ -50,8 +50,8 @@ def overlay(chain: DataFrame) -> DataFrame:
     steps = F.split(F.regexp_replace("path", r"\[", ".["), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.regexp_replace(F.array_join(F.slice(steps, F.lit(1), n), "."), r"\.\[", "["))
     under = last.filter("type <> 'null'").select("doc", "path", "seq", F.explode(prefixes).alias("_p"))
-    dead = under.join(cuts, ["doc", "_p"]).filter("_s > seq").select("doc", "path").distinct()
-    return last.filter("type <> 'null'").join(dead, ["doc", "path"], "left_anti").select("doc", "path", *VALUE)
+    dead = under.join(shuffled(cuts), ["doc", "_p"]).filter("_s > seq").select("doc", "path").distinct()
+    return last.filter("type <> 'null'").join(shuffled(dead), ["doc", "path"], "left_anti").select("doc", "path", *VALUE)
 
 
 def flatten(long: DataFrame) -> DataFrame:
@@ -62,21 +62,20 @@ def chase(refs: DataFrame) -> DataFrame:
     """doc, path, target (where the chain of references leads), endless (into a cycle) of
     (doc, path, target) rows.  Pointers are doubled as often as the longest possible chain,
     all references of one document, asks for."""
-    refs = refs.select("doc", "path", "target").dropDuplicates(["doc", "path"])
-    most = refs.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
-    hop = settle(refs, "references")
+    hop = settle(refs.select("doc", "path", "target").dropDuplicates(["doc", "path"]), "references")
+    most = hop.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
     for step in range(int(most).bit_length()):
         nxt = hop.select("doc", F.col("path").alias("target"), F.col("target").alias("_t"))
-        hop = hop.join(nxt, ["doc", "target"], "left").select("doc", "path", F.coalesce("_t", "target").alias("target"))
+        hop = hop.join(shuffled(nxt), ["doc", "target"], "left").select("doc", "path", F.coalesce("_t", "target").alias("target"))
         if step % 3 == 2:
             hop = settle(hop, "hops")
     own = hop.select("doc", F.col("path").alias("target"), F.lit(True).alias("_on"))
-    return hop.join(own, ["doc", "target"], "left").select("doc", "path", "target", F.coalesce("_on", F.lit(False)).alias("endless"))
+    return hop.join(shuffled(own), ["doc", "target"], "left").select("doc", "path", "target", F.coalesce("_on", F.lit(False)).alias("endless"))
 
 
 def resolve(long: DataFrame) -> DataFrame:
     """References replaced by the value they lead to; ``cycle`` marks those that never end."""
     hop = chase(long.filter("type = 'reference'").select("doc", "path", F.col("value").alias("target")))
     ends = long.filter("type <> 'reference'").select("doc", F.col("path").alias("target"), *VALUE)
-    done = hop.join(ends, ["doc", "target"], "left")
+    done = hop.join(shuffled(ends), ["doc", "target"], "left")
     return long.filter("type <> 'reference'").select("doc", "path", *VALUE, F.lit(False).alias("cycle")).unionByName(done.select("doc", "path", *VALUE, F.col("endless").alias("cycle")))

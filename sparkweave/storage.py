@@ -33,6 +33,13 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the input: never broadcast.  The planner would guess
+    from bytes on disk, which for repetitive rows are a small part of those in memory, and
+    doesn't count what an explode adds."""
+    return df.hint("merge")
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder in the shared one, deleted when the process ends."""
     path = f"{shared_dir(spark)}/sparkweave-{uuid.uuid4().hex}"
