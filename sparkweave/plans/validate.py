@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import shuffled
 from .documents import chase
 from .formats import meets
 
@@ -193,7 +194,7 @@ def validate(long: DataFrame, schema: Schema, strict: bool = False) -> DataFrame
             out = out.unionByName(keys.groupBy("doc", "k").count().filter("count > 1").select("doc", F.lit(r.path).alias("path"), F.lit("V007").alias("code"), F.lit("repeated row").alias("message")))
     refs = long.filter("type = 'reference'").select("doc", F.col("path").alias("path"), F.col("value").alias("target"))
     paths = long.select("doc", F.col("path").alias("target")).distinct()
-    out = out.unionByName(refs.join(paths, ["doc", "target"], "left_anti").select("doc", "path", F.lit("V013").alias("code"), F.lit("no such path").alias("message")))
+    out = out.unionByName(refs.join(shuffled(paths), ["doc", "target"], "left_anti").select("doc", "path", F.lit("V013").alias("code"), F.lit("no such path").alias("message")))
     out = out.unionByName(cycles(refs).select("doc", "path", F.lit("V012").alias("code"), F.lit("cycle").alias("message")))
     if strict:
         known = [f"{r.path}[]" if r.array else r.path for r in schema.rules]
