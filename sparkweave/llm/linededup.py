@@ -5,27 +5,26 @@
    the way is the leaf.
 2. Every masked line is counted by the documents that hold it, once a document.  Counts are
    summed on the way, so a line that a third of all documents hold is a row a task.
-3. Leaves with several masked lines and enough documents are parsed.  A line of n tokens
-   may differ from its template in at most d = n * (1 - similarity) of them, so of d + 1
-   blocks of its tokens one at least is the same in all lines of a template: each line is
-   filed under leaf and block, once for each block, and whatever belongs to one template
-   meets in one group.  In a group, lines in order of frequency join the most similar
-   template when at least ``similarity`` of their positions agree, and positions that differ
-   become variable.  Groups of more than ``leaf_lines`` lines are parsed in slices, and the
-   slices' templates are parsed again as lines of their own, level by level, until a group
-   is one slice or a level joins nothing any more.
-4. A line goes when it is held by at least ``min_docs`` documents itself, or when its
-   template is and at least half of its positions are fixed.  Documents of a template are
-   those of all its lines together: a line of fewer than ``min_docs`` documents brings the
-   keys of all of them, one of more decides alone.
+3. Leaves with several masked lines and enough documents are looked into.  A line of n
+   tokens may differ from a similar one in at most d = n * (1 - similarity) of them, so of
+   d + 1 blocks of its tokens one at least is the same in both: each line is filed under
+   leaf and block, once for each block.
+4. A line goes when it is held by at least ``min_docs`` documents itself, or when the lines
+   of one of its groups that are similar to it are, itself among them: a line's template is
+   the line with those similar to it.  Similar lines agree in at least ``similarity`` of
+   their positions, fields included, and without the fields in half of them.  Their
+   documents are counted together: a line of fewer than ``min_docs`` documents brings the
+   keys of all of them, one of more decides alone.  No order of the lines and no size of a
+   group has a say in it: groups of more than ``leaf_lines`` lines are held against each
+   other slice by slice, each line until its documents are enough.
 5. The lines to drop go back to the blocks of documents that hold them.
 
 Which leaves are parsed is told to the scan by a bitmap of fixed size (2 MB); what it lets
 pass by chance is removed by a join, so it only saves traffic.
 
 Defined cases: null counts as empty: no line; blank lines are never counted nor dropped;
-a repeated row is another document; ties in similarity go to the older template; an empty
-table gives an empty result; further columns are not carried here.
+a repeated row is another document; an empty table gives an empty result; further columns
+are not carried here.
 """
 
 from __future__ import annotations
@@ -80,55 +79,45 @@ def groups_of(leaf: int, tokens: list[str], depth: int, similarity: float) -> se
     return out
 
 
-def templates(lines: list[tuple], similarity: float) -> list[tuple[list[int], list[str]]]:
-    """(members, form) of the templates of lines (key, tokens, documents, ...): the members'
-    places in ``lines``, and the tokens with variable positions as <*>."""
-    order = sorted(range(len(lines)), key=lambda i: (-lines[i][2], lines[i][0]))
-    width = len(lines[0][1])
+def apart(docs: list[int]) -> list[int]:
+    """Keys of a line's documents; of equal rows, the second and later ones get keys of their
+    own, the same ones in every line."""
+    seen: Counter[int] = Counter()
+    out = []
+    for d in docs:
+        out.append(signed(xxhash.xxh64_intdigest(f"{d} {seen[d]}")) if seen[d] else d)
+        seen[d] += 1
+    return out
+
+
+def support(asked: list[tuple], lines: list[tuple], similarity: float, min_docs: int) -> list[list[int] | None]:
+    """For each line (key, tokens, documents, key of each document ...) of ``asked``: the
+    documents of the lines similar to it, or None where they are ``min_docs`` or more."""
     codes: dict[str, int] = {"<*>": 0}
-    x = np.array([[codes.setdefault(t, len(codes)) for t in lines[i][1]] for i in order], dtype=np.int64).reshape(len(lines), width)
-    form = np.zeros((len(lines), width), dtype=np.int64)
-    of: list[list[int]] = []
-    for i in range(len(lines)):
-        if of:
-            same = (form[: len(of)] == x[i]).sum(axis=1)
-            j = int(np.argmax(same))
-            if same[j] >= similarity * width:
-                of[j].append(order[i])
-                form[j] = np.where(form[j] == x[i], form[j], 0)
-                continue
-        form[len(of)] = x[i]
-        of.append([order[i]])
-    names = {v: k for k, v in codes.items()}
-    return [(m, [names[c] for c in form[j].tolist()]) for j, m in enumerate(of)]
-
-
-def documents(lines: list[tuple]) -> tuple[int, list[int]]:
-    """(most documents of one line, keys of all lines' documents): a key that comes twice in
-    a line is of two equal rows."""
-    docs: Counter[int] = Counter()
-    for x in lines:
-        docs |= Counter(x[3:])
-    return max(x[2] for x in lines), list(docs.elements())
-
-
-def recurs(lines: int, form: list[str], most: int, docs: list[int], min_docs: int) -> bool:
-    return lines > 1 and 2 * sum(t != "<*>" for t in form) >= len(form) and max(most, len(docs)) >= min_docs
+    y = np.array([[codes.setdefault(t, len(codes)) for t in x[1]] for x in lines], dtype=np.int32)
+    out: list[list[int] | None] = []
+    for a in asked:
+        x = np.array([codes.get(t, -1) for t in a[1]], dtype=np.int32)
+        same = y == x
+        held: set[int] | None = set(a[3:])
+        for j in np.flatnonzero((same.sum(axis=1) >= similarity * len(x)) & (2 * same[:, x != 0].sum(axis=1) >= len(x))).tolist():
+            held.update(lines[j][3:])
+            if lines[j][2] >= min_docs or len(held) >= min_docs:
+                held = None
+                break
+        out.append(held if held is None else sorted(held))
+    return out
 
 
 def parse(lines: list[tuple], similarity: float, min_docs: int) -> list[int]:
-    """Keys of the lines (key, tokens, documents, key of each document ...) of one group whose
-    template recurs.  Document keys are needed of lines in fewer than ``min_docs`` documents."""
-    out = []
-    for members, form in templates(lines, similarity):
-        own = [lines[i] for i in members]
-        if recurs(len(own), form, *documents(own), min_docs):
-            out += [x[0] for x in own]
-    return out
+    """Keys of the lines (key, tokens, documents, key of each document ...) of one group, of
+    fewer than ``min_docs`` documents themselves, that recur with those similar to them."""
+    asked = [x for x in lines if x[2] < min_docs]
+    return [x[0] for x, held in zip(asked, support(asked, lines, similarity, min_docs), strict=True) if held is None]
 
 
 def recurring(texts: DataFrame, depth: int, similarity: float, min_docs: int, leaf_lines: int) -> DataFrame:
-    """key of every line of ``texts`` (leaf, key, line, n, docs) whose template recurs."""
+    """key of every line of ``texts`` (leaf, key, line, n, docs) that recurs with those similar to it."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -143,57 +132,45 @@ def recurring(texts: DataFrame, depth: int, similarity: float, min_docs: int, le
     sizes = cut(per.groupBy("lines", "x", "y").agg(F.min("group").alias("group")).select("group", "lines"), "sizes")
     filed = cut(ids.select("group", "key").join(sizes, "group").join(texts.drop("leaf"), "key").select("group", "lines", "key", "line", "n", "docs"), "filed")
     total = filed.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("lines"), F.lit(0)).alias("most")).first()
-    # groups that fit are parsed in bundles of a bounded number of lines
+    # groups that fit are looked into in bundles of a bounded number of lines
     bundles = max(1, total["rows"] // (4 * leaf_lines))
 
-    def each(table: pa.Table) -> Iterator[tuple[int, list[tuple]]]:
+    def each(table: pa.Table) -> dict[int, list[tuple]]:
         own: dict[int, list] = {}
         for group, key, line, n, held_by in zip(*(table.column(c).to_pylist() for c in ("group", "key", "line", "n", "docs")), strict=True):
-            own.setdefault(group, []).append((key, line.split(" "), n, *(held_by or ())))
-        yield from own.items()
+            own.setdefault(group, []).append((key, line.split(" "), n, *apart(held_by or [])))
+        return own
 
     def keys(table: pa.Table) -> pa.Table:
-        return pa.table({"key": pa.array([k for _, v in each(table) for k in parse(v, similarity, min_docs)], pa.int64())})
+        return pa.table({"key": pa.array([k for v in each(table).values() for k in parse(v, similarity, min_docs)], pa.int64())})
 
     found = filed.filter(F.col("lines") <= leaf_lines).withColumn("bundle", F.pmod("group", F.lit(bundles))).groupBy("bundle").applyInArrow(keys, "key bigint")
     if total["most"] <= leaf_lines:
         return found
 
-    # larger groups: slices, whose templates are the lines of the next level
-    def joined(table: pa.Table) -> pa.Table:
-        out: dict[str, list] = {c: [] for c in ("group", "old", "key", "line", "n", "docs", "members", "up")}
-        members = dict(zip(table.column("key").to_pylist(), table.column("members").to_pylist(), strict=True))
-        for group, v in each(table):
-            for at, form in templates(v, similarity):
-                own = [v[i] for i in at]
-                most, docs = documents(own)
-                new = min(x[0] for x in own)  # keys of a level are distinct, and so are the least ones of its templates
-                for x in own:
-                    row = (group, x[0], new, " ".join(form), most, docs[:min_docs] if most < min_docs else [], sum(members[y[0]] for y in own), x[0] == new)
-                    for c, value in zip(out, row, strict=True):
-                        out[c].append(value)
-        kinds = {"line": pa.string(), "docs": pa.list_(pa.int64()), "up": pa.bool_()}
-        return pa.table({c: pa.array(x, kinds.get(c, pa.int64())) for c, x in out.items()})
-
-    level = filed.filter(F.col("lines") > leaf_lines).drop("lines").withColumn("members", F.lit(1).cast("bigint"))
-    step, rows, steps = 0, level.count(), []
-    while True:
-        step += 1
-        per = cut(level.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).cast("int").alias("slices")), "slices")
-        last = per.agg(F.max("slices")).first()[0] == 1
-        sliced = level.join(per, "group").withColumn("slice", F.pmod(F.xxhash64("key", F.lit(step)), "slices"))
-        done = cut(sliced.groupBy("group", "slice").applyInArrow(joined, "group bigint, old bigint, key bigint, line string, n bigint, docs array<bigint>, members bigint, up boolean"), "joined")
-        steps.append(done.select("group", "old", "key"))
-        level = done.filter("up").select("group", "key", "line", "n", "docs", "members")
-        left = level.count()
-        if last or left == rows:
-            break
-        rows = left
-    fixed = F.size(F.filter(F.split("line", " "), lambda t: t != "<*>"))
-    top = level.filter((F.col("members") > 1) & (2 * fixed >= F.size(F.split("line", " "))) & ((F.col("n") >= min_docs) | (F.size("docs") >= min_docs))).select("group", "key")
-    for s in reversed(steps):
-        top = s.join(top, ["group", "key"]).select("group", F.col("old").alias("key"))
-    return found.unionByName(top.select("key"))
+    # larger groups: each slice by itself, then what is open yet against the other slices
+    def held_by(asked: pa.Table, lines: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        known = each(lines)
+        for group, v in each(asked).items():
+            v = [x for x in v if x[2] < min_docs]
+            out += [(group, x[0], held is None, held or []) for x, held in zip(v, support(v, known.get(group, []), similarity, min_docs) if group in known else [x[3:] for x in v], strict=True)]
+        return pa.table({c: pa.array([x[k] for x in out], t) for k, (c, t) in enumerate((("group", pa.int64()), ("key", pa.int64()), ("enough", pa.bool_()), ("held", pa.list_(pa.int64()))))})
+
+    shape = "group bigint, key bigint, enough boolean, held array<bigint>"
+    large = filed.filter(F.col("lines") > leaf_lines).withColumn("slices", F.ceil(F.col("lines") / leaf_lines).cast("int")).withColumn("slice", F.pmod(F.xxhash64("key", F.lit(1)), "slices").cast("int"))
+    first = cut(large.groupBy("group", "slice").applyInArrow(lambda t: held_by(t, t), shape), "first")
+    asked = cut(large.join(first.filter(~F.col("enough")).select("group", "key"), ["group", "key"]), "asked")
+    per = cut(asked.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / leaf_lines).cast("int").alias("chunks")), "chunks")
+    chunk = F.pmod(F.xxhash64("key", F.lit(2)), "chunks").cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("slices") - 1), lambda i: i != F.col("slice"))
+    cols = ["group", "slice", "chunk", "key", "line", "n", "docs"]
+    asked = asked.join(per, "group").withColumn("chunk", chunk).withColumn("slice", F.explode(others)).select(*cols)
+    lines = large.join(per, "group").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*cols)
+    by = ["group", "slice", "chunk"]
+    second = asked.groupBy(*by).cogroup(lines.groupBy(*by)).applyInArrow(held_by, shape)
+    both = first.unionByName(second).groupBy("group", "key").agg(F.max("enough").alias("enough"), F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("n"))
+    return found.unionByName(both.filter(F.col("enough") | (F.col("n") >= min_docs)).select("key"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, similarity: float = 0.75, min_docs: int = 5, leaf_lines: int = 2000, block_bytes: int = 16 << 20) -> DataFrame:

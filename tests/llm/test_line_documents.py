@@ -64,3 +64,40 @@ def test_groups_hold_whatever_a_template_joins():
         for p in rnd.sample(free, min(len(free), int(n * 0.25 + 1e-9))):
             b[p] = "other"
         assert linededup.groups_of(1, a, 3, 0.75) & linededup.groups_of(1, b, 3, 0.75)
+
+
+def test_lines_go_by_those_similar_to_them_at_every_size(spark):
+    """Brute force: neither the lines' order nor a group's size has a say."""
+    rnd = random.Random(5)
+    texts = []
+    for k in range(70):
+        lines = []
+        for stem in range(6):
+            n = (4, 6, 8, 8, 12, 13)[stem]
+            t = [f"s{'abcdef'[stem]}w{chr(97 + i)}" for i in range(n)]
+            for p in rnd.sample(range(3, n), rnd.randint(0, min(4, n - 3))):
+                t[p] = rnd.choice(("red", "green", "blue", "grey", "5"))
+            lines.append(" ".join(t))
+        texts.append((k, "\n".join(lines)))
+    texts += texts[:3]
+    held = {}
+    for row, (_, t) in enumerate(texts):
+        for line in t.split("\n"):
+            held.setdefault(tuple(linededup.masked(line)), set()).add(row)
+    groups = {}
+    for line in held:
+        for g in linededup.groups_of(linededup.place(list(line), 3)[0], list(line), 3, 0.75):
+            groups.setdefault(g, []).append(line)
+
+    def similar(a, b):
+        same = [x for x, y in zip(a, b, strict=True) if x == y]
+        return len(same) >= 0.75 * len(a) and 2 * sum(x != "<*>" for x in same) >= len(a)
+
+    gone = {a for a, rows in held.items() if len(rows) >= 5}
+    for lines in groups.values():
+        gone |= {a for a in lines if len(set().union(*(held[b] for b in lines if similar(a, b)), held[a])) >= 5}
+    assert 0 < len(gone) < len(held)
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(4)
+    want = {(k, "\n".join(x for x in t.split("\n") if tuple(linededup.masked(x)) not in gone)) for k, t in texts}
+    for leaf_lines in (2000, 25, 7, 3):
+        assert {(r["doc_id"], r["kept_text"]) for r in linededup.drop_lines(docs, leaf_lines=leaf_lines).collect()} == want, leaf_lines
