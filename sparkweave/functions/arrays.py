@@ -9,9 +9,10 @@ from functools import reduce as _fold
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .geo import mulberry, seed_of
-from .registry import call, col, value_of, verb
+from .registry import call, col, let, value_of, verb
 from .scalar import num, text, truthy
 
 OPERATORS = ("=", "==", "!=", "<>", "<", "<=", ">", ">=", "contains", "startsWith", "endsWith")
@@ -71,8 +72,8 @@ def with_ordinal(array: Column) -> Column:
 @verb("sortBy")
 def sort_by(array, field):
     """Stable, nulls first: sorting (field, position, item) structs needs no comparator."""
-    keyed = F.transform(col(array), lambda x, i: F.struct(x[field].alias("k"), i.alias("i")))
-    return F.transform(F.sort_array(keyed), lambda p: F.get(col(array), p["i"]))
+    keyed = lambda a: F.transform(a, lambda x, i: F.struct(x[field].alias("k"), i.alias("i")))
+    return let(col(array), lambda a: F.transform(F.sort_array(keyed(a)), lambda p: F.get(a, p["i"])))
 
 
 @verb("map", "pluck")
@@ -151,9 +152,8 @@ def zip_(*arrays):
 @verb("groupBy")
 def group_by(array, field):
     """[{key, items}] in first-seen order of the keys, null as "null"."""
-    a = col(array)
     key = lambda x: F.coalesce(text(x[field]), F.lit("null"))
-    return F.transform(F.array_distinct(F.transform(a, key)), lambda k: F.struct(k.alias("key"), F.filter(a, lambda x: key(x) == k).alias("items")))
+    return let(col(array), lambda a: F.transform(F.array_distinct(F.transform(a, key)), lambda k: F.struct(k.alias("key"), F.filter(a, lambda x: key(x) == k).alias("items"))))
 
 
 @verb("partition")
@@ -201,45 +201,51 @@ def row_number(array):
     return F.transform(col(array), lambda x, i: F.struct((i + 1).alias("_rowNum"), x.alias("value")))
 
 
-def sample_udf(kind: str):
-    @F.pandas_udf(f"array<{kind}>")
-    def run(arrays: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _places(size: pd.Series, n: pd.Series, seed: pd.Series) -> pd.Series:
+    """Places of the items drawn; rows of one seed, size and number draw the same ones."""
+    known: dict[tuple, list[int]] = {}
+
+    def one(size, k, s):
+        if size < 0 or k != k:
+            return None
+        if (size, k, s) in known:
+            return known[size, k, s]
+        u = mulberry(seed_of(str(s))) if s is not None else iter(_random.random, 2)
+        m = min(int(k), int(size))
+        moved: dict[int, int] = {}  # only what is not in its own place
         out = []
-        for a, k, s in zip(arrays, n, seed, strict=True):
-            if a is None:
-                out.append(None)
-                continue
-            a = list(a)
-            u = mulberry(seed_of(str(s))) if s is not None else iter(_random.random, 2)
-            m = min(int(k), len(a))
-            for i in range(m):
-                j = i + int(next(u) * (len(a) - i))
-                a[i], a[j] = a[j], a[i]
-            out.append(a[:m])
-        return pd.Series(out)
-
-    return run
+        for i in range(m):
+            j = i + int(next(u) * (size - i))
+            out.append(moved.get(j, j))
+            moved[j] = moved.get(i, i)
+        if s is not None:
+            known[size, k, s] = out
+        return out
+
+    return pd.Series([one(*x) for x in zip(size, n, seed, strict=True)], dtype=object)
 
 
 @verb("sample")
 def sample(array, n, seed=None, kind: str = "bigint"):
-    """A partial Fisher-Yates shuffle, seeded: an Arrow-batched function."""
-    return sample_udf(kind)(col(array), col(n), col(seed).cast("string"))
+    """A partial Fisher-Yates shuffle, seeded.  An Arrow-batched function draws the places;
+    the items stay in the JVM."""
+    places = _places(F.coalesce(F.size(col(array)), F.lit(-1)), col(n), col(seed).cast("string"))
+    return F.transform(places, lambda i: F.get(col(array), i)).cast(f"array<{kind}>")
 
 
 @verb("dedupe")
 def dedupe(array, field):
     """First item of each key; items without key all stay."""
-    a = col(array)
-    keys = F.transform(a, lambda x: text(x[field]))
-    return F.filter(a, lambda x, i: F.get(keys, i).isNull() | (F.array_position(keys, F.get(keys, i)) == i + 1))
+    first = lambda keys, k, i: k.isNull() | (F.array_position(keys, k) == i + 1)
+    return let(F.transform(col(array), lambda x: text(x[field])), lambda keys: F.filter(col(array), lambda x, i: first(keys, F.get(keys, i), i)))
 
 
 def _running(array: Column, op, zero: float) -> Column:
     """Running fold in one pass; the output grows by one item a step."""
     start = F.struct(F.lit(zero).alias("acc"), F.array().cast("array<double>").alias("out"))
     step = lambda s, x: F.struct(
-        F.coalesce(op(s["acc"], num(x)), s["acc"]).alias("acc"), F.array_append(s["out"], F.when(num(x).isNotNull(), op(s["acc"], num(x)))).alias("out")
+        F.coalesce(op(s["acc"], num(x)), s["acc"]).alias("acc"), F.array_append(s["out"], op(s["acc"], num(x))).alias("out")
     )
     return F.aggregate(array, start, step, lambda s: s["out"])
 
@@ -261,20 +267,20 @@ def _before(a: Column, i: Column, n) -> Column:
 @verb("diff")
 def diff(array, periods=1):
     a, n = col(array), F.greatest(col(periods), F.lit(1))
-    return F.transform(a, lambda x, i: num(x) - _before(a, i, n))
+    return let(a, lambda a: F.transform(a, lambda x, i: num(x) - _before(a, i, n)))
 
 
 @verb("pctChange")
 def pct_change(array, periods=1):
     a, n = col(array), F.greatest(col(periods), F.lit(1))
-    return F.transform(a, lambda x, i: F.try_divide(num(x) - _before(a, i, n), _before(a, i, n)))
+    return let(a, lambda a: F.transform(a, lambda x, i: let(_before(a, i, n), lambda b: F.try_divide(num(x) - b, b))))
 
 
 @verb("shift")
 def shift(array, n=1, fill=None):
     a, k = col(array), col(n).cast("int")
-    inside = lambda i: ((i - k) >= 0) & ((i - k) < F.size(a))
-    return F.transform(a, lambda x, i: F.when(inside(i), F.get(a, i - k)).otherwise(col(fill)))
+    inside = lambda a, i: ((i - k) >= 0) & ((i - k) < F.size(a))
+    return let(a, lambda a: F.transform(a, lambda x, i: F.when(inside(a, i), F.get(a, i - k)).otherwise(col(fill))))
 
 
 @verb("lag")
@@ -293,8 +299,8 @@ def rank(array, field=None, direction="desc"):
     a = col(array)
     key = (lambda x: num(x[field])) if field is not None else num
     better = (lambda x, y: x > y) if value_of(direction) == "desc" else (lambda x, y: x < y)
-    values = F.transform(a, key)
-    return F.transform(a, lambda x: F.struct((F.size(F.filter(values, lambda v: better(v, key(x)))) + 1).alias("_rank"), x.alias("value")))
+    one = lambda values, x, k: F.struct((F.size(F.filter(values, lambda v: better(v, k))) + 1).alias("_rank"), x.alias("value"))
+    return let(F.transform(a, key), lambda values: F.transform(a, lambda x, i: let(F.get(values, i), lambda k: one(values, x, k))))
 
 
 @verb("fillMissing")
@@ -303,10 +309,10 @@ def fill_missing(array, fill=None, strategy="value"):
     if s == "mean":
         from .stats import avg
 
-        return F.transform(a, lambda x: F.coalesce(num(x), avg(a), num(fill)))
+        return let(a, lambda a: let(avg(a), lambda m: F.transform(a, lambda x: F.coalesce(num(x), m, num(fill)))))
     if s in ("forward", "backward"):
-        known = lambda i: F.filter(F.slice(a, F.lit(1), i + 1) if s == "forward" else F.slice(a, i + 1, F.size(a)), lambda v: v.isNotNull())
-        return F.transform(a, lambda x, i: F.coalesce(x, F.try_element_at(known(i), F.lit(-1 if s == "forward" else 1)), col(fill)))
+        known = lambda a, i: F.filter(F.slice(a, F.lit(1), i + 1) if s == "forward" else F.slice(a, i + 1, F.size(a)), lambda v: v.isNotNull())
+        return let(a, lambda a: F.transform(a, lambda x, i: F.coalesce(x, F.try_element_at(known(a, i), F.lit(-1 if s == "forward" else 1)), col(fill))))
     return F.transform(a, lambda x: F.coalesce(x, col(fill)))
 
 
@@ -353,10 +359,10 @@ def symmetric_difference(a, b):
 def count_by(array, field=None):
     from .objects import UNSAFE
 
-    a = col(array)
     key = lambda x: F.coalesce(text(x[field] if field is not None else x), F.lit(""))
-    keys = F.filter(F.array_sort(F.array_distinct(F.transform(a, key))), lambda k: ~k.isin(*UNSAFE))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.size(F.filter(a, lambda x: key(x) == k)))))
+    names = lambda keys: F.filter(F.sort_array(F.array_distinct(keys)), lambda k: ~k.isin(*UNSAFE))
+    one = lambda keys, k: F.struct(k, F.size(F.filter(keys, lambda x: x == k)))
+    return let(F.transform(col(array), key), lambda keys: F.map_from_entries(F.transform(names(keys), lambda k: one(keys, k))))
 
 
 @verb("keyBy")

@@ -16,6 +16,12 @@ def col(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(x, f: Callable[[Column], Column]) -> Column:
+    """f(x), x computed once: in a lambda's body, and wherever an expression names it twice
+    beside one, a column is computed anew for every item and every mention."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def verb(name: str, *aliases: str):
     """Register a built-in; its arguments arrive as columns unless marked otherwise."""
 

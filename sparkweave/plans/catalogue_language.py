@@ -13,7 +13,7 @@ from .validate import parse_schema, validate
 def order_documents(spark, sf_dir):
     """One document an order: its lines as an ordered array."""
     line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("qty"), F.col("l_extendedprice").alias("price"), F.col("l_returnflag").alias("flag"))
-    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    lines = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     return lines.join(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_orderstatus").alias("status")), "doc")
 
 
