@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, value_of, verb
+from .registry import col, let, value_of, verb
 from .scalar import last_entries
 
 #: Keys that are never written.
@@ -52,10 +52,8 @@ def merge(*ms):
 
 @verb("pick")
 def pick(m, *names):
-    e = F.map_entries(col(m))
-    of = lambda n: F.filter(e, lambda x: x["key"] == value_of(n))
-    found = F.flatten(F.array(*map(of, names)))
-    return of_entries(found)
+    of = lambda e, n: F.filter(e, lambda x: x["key"] == value_of(n))
+    return of_entries(let(F.map_entries(col(m)), lambda e: F.flatten(F.array(*[of(e, n) for n in names]))))
 
 
 @verb("omit")
@@ -75,8 +73,8 @@ def invert(m):
 
 @verb("defaults")
 def defaults(m, base):
-    missing = F.filter(F.map_entries(col(base)), lambda e: ~F.map_contains_key(col(m), e["key"]))
-    return of_entries(F.concat(F.map_entries(col(m)), missing))
+    missing = lambda m: F.filter(F.map_entries(col(base)), lambda e: ~F.map_contains_key(m, e["key"]))
+    return of_entries(let(col(m), lambda m: F.concat(F.map_entries(m), missing(m))))
 
 
 @verb("renameKeys")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, value_of, verb
+from .registry import col, let, value_of, verb
 
 INF = float("inf")
 
@@ -167,8 +167,9 @@ def to_object(pairs):
 
 def last_entries(pairs: Column) -> Column:
     """Entries in first-seen order of their keys, each with its last value."""
-    keys = F.array_distinct(F.transform(pairs, lambda p: p.getField("key")))
-    return F.transform(keys, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(pairs, lambda p: p.getField("key") == k), -1).getField("value").alias("value")))
+    last = lambda pairs, k: F.element_at(F.filter(pairs, lambda p: p.getField("key") == k), -1)
+    keys = lambda pairs: F.array_distinct(F.transform(pairs, lambda p: p.getField("key")))
+    return let(pairs, lambda pairs: F.transform(keys(pairs), lambda k: F.struct(k.alias("key"), last(pairs, k).getField("value").alias("value"))))
 
 
 # -- logic ---------------------------------------------------------------------------------
