@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .registry import col, value_of, verb
+from .registry import col, let, value_of, verb
 from .scalar import finite, num, text
 
 
@@ -16,8 +16,8 @@ def numbers(array) -> Column:
     return F.filter(F.transform(col(array), num), lambda x: x.isNotNull())
 
 
-def total(array: Column) -> Column:
-    return F.aggregate(array, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+def total(array: Column, value=lambda x: x) -> Column:
+    return F.aggregate(array, F.lit(0.0), lambda a, x: a + F.coalesce(value(x), F.lit(0.0)))
 
 
 def _items(xs) -> Column:
@@ -26,7 +26,7 @@ def _items(xs) -> Column:
 
 @verb("sum")
 def sum_(*xs):
-    return total(numbers(_items(xs)))
+    return total(_items(xs), num)
 
 
 @verb("count")
@@ -46,7 +46,10 @@ def max_(*xs):
 
 @verb("avg")
 def avg(*xs):
-    n = numbers(_items(xs))
+    return let(numbers(_items(xs)), _mean)
+
+
+def _mean(n: Column) -> Column:
     return F.try_divide(total(n), F.size(n))
 
 
@@ -159,40 +162,47 @@ def rate(nper_, payment, present, future=0.0):
 
     def step(s, _):
         r = s["r"]
-        g = F.pow(1 + r, n)
-        value = p * g + m * F.try_divide(g - 1, r) + f
-        slope = p * n * F.try_divide(g, 1 + r) + m * (F.try_divide(n * F.try_divide(g, 1 + r), r) - F.try_divide(g - 1, r * r))
-        new = r - F.try_divide(value, slope)
-        return F.when(s["done"], s).otherwise(F.struct(F.coalesce(new, r).alias("r"), F.coalesce(F.abs(new - r) < 1e-10, F.lit(True)).alias("done")))
+        value = lambda g: p * g + m * F.try_divide(g - 1, r) + f
+        slope = lambda g: p * n * F.try_divide(g, 1 + r) + m * (F.try_divide(n * F.try_divide(g, 1 + r), r) - F.try_divide(g - 1, r * r))
+        to = lambda new: F.struct(F.coalesce(new, r).alias("r"), F.coalesce(F.abs(new - r) < 1e-10, F.lit(True)).alias("done"))
+        return F.when(s["done"], s).otherwise(let(F.pow(1 + r, n), lambda g: let(r - F.try_divide(value(g), slope(g)), to)))
 
     start = F.struct(F.lit(0.1).alias("r"), F.lit(False).alias("done"))
-    return finite(F.aggregate(F.sequence(F.lit(1), F.lit(100)), start, step, lambda s: s["r"]))
-
-
-def newton(f, slope, guess: float, steps: int, tolerance: float) -> float | None:
-    r = guess
-    for _ in range(steps):
-        v, d = f(r), slope(r)
-        if not np.isfinite(v) or not np.isfinite(d) or d == 0:
-            return None
-        new = r - v / d
-        if abs(new - r) < tolerance:
-            return float(new)
-        r = new
-    return None
+    # most are done in a few of the hundred steps
+    few = F.aggregate(F.sequence(F.lit(1), F.lit(8)), start, step)
+    return finite(let(few, lambda s: F.when(s["done"], s["r"]).otherwise(F.aggregate(F.sequence(F.lit(9), F.lit(100)), s, step, lambda s: s["r"]))))
+
+
+def newton(flows: list, times: list, guess: pd.Series, steps: int, tolerance: float) -> pd.Series:
+    """Internal rates of all rows of a batch: rows of one length take their steps together.
+    A row without flows, or whose steps lead nowhere, has none."""
+    out, guess = np.full(len(flows), np.nan), guess.to_numpy(float)
+    lengths = np.array([-1 if c is None else len(c) for c in flows], dtype=np.int64)
+    for n in np.unique(lengths[lengths >= 0]):
+        at = np.flatnonzero(lengths == n)
+        c, t, r = np.stack([flows[i] for i in at]), np.stack([times[i] for i in at]), guess[at]
+        for _ in range(steps):
+            x = 1 + r[:, None]
+            v, d = (c / x**t).sum(axis=1), (-t * c / x ** (t + 1)).sum(axis=1)
+            ok = np.isfinite(v) & np.isfinite(d) & (d != 0)
+            new = r[ok] - v[ok] / d[ok]
+            done = np.abs(new - r[ok]) < tolerance
+            out[at[ok][done]] = new[done]
+            at, c, t, r = at[ok][~done], c[ok][~done], t[ok][~done], new[~done]
+            if not len(at):
+                break
+    return pd.Series(np.where(np.isnan(out), None, out), dtype=object)
+
+
+def _known(c) -> np.ndarray:
+    return np.asarray(c if getattr(c, "dtype", object) != object else [x for x in c if x is not None], float)
 
 
 @F.pandas_udf(T.DoubleType())
 def _irr(flows: pd.Series, guess: pd.Series) -> pd.Series:
-    def one(c, g):
-        if c is None or len(c) < 2:
-            return None
-        c = np.asarray([x for x in c if x is not None], float)
-        t = np.arange(len(c))
-        with np.errstate(all="ignore"):
-            return newton(lambda r: (c / (1 + r) ** t).sum(), lambda r: (-t * c / (1 + r) ** (t + 1)).sum(), g, 200, 1e-10)
-
-    return pd.Series([one(c, g) for c, g in zip(flows, guess, strict=True)], dtype="float64")
+    own = [None if c is None or len(c) < 2 else _known(c) for c in flows]
+    with np.errstate(all="ignore"):
+        return newton(own, [None if c is None else np.arange(len(c)) for c in own], guess, 200, 1e-10)
 
 
 @verb("irr")
@@ -202,14 +212,11 @@ def irr(flows, guess=0.1):
 
 @F.pandas_udf(T.DoubleType())
 def _xirr(flows: pd.Series, days: pd.Series, guess: pd.Series) -> pd.Series:
-    def one(c, d, g):
-        if c is None or d is None or len(c) < 2 or len(c) != len(d):
-            return None
-        c, t = np.asarray(c, float), (np.asarray(d, float) - d[0]) / 365
-        with np.errstate(all="ignore"):
-            return newton(lambda r: (c / (1 + r) ** t).sum(), lambda r: (-t * c / (1 + r) ** (t + 1)).sum(), g, 100, 1e-7)
-
-    return pd.Series([one(*x) for x in zip(flows, days, guess, strict=True)], dtype="float64")
+    fit = [c is not None and d is not None and len(c) == len(d) >= 2 for c, d in zip(flows, days, strict=True)]
+    own = [np.asarray(c, float) if ok else None for c, ok in zip(flows, fit, strict=True)]
+    times = [(np.asarray(d, float) - d[0]) / 365 if ok else None for d, ok in zip(days, fit, strict=True)]
+    with np.errstate(all="ignore"):
+        return newton(own, times, guess, 100, 1e-7)
 
 
 def _days(dates) -> Column:
@@ -242,9 +249,11 @@ def depreciation(cost, salvage, life):
 
 
 def _moment(array, ddof: int) -> Column:
-    n = numbers(array)
-    mean = F.try_divide(total(n), F.size(n))
-    return F.when(F.size(n) > ddof, F.try_divide(total(F.transform(n, lambda x: (x - mean) * (x - mean))), F.size(n) - ddof))
+    return let(numbers(array), lambda n: let(_mean(n), lambda m: _spread(n, m, ddof)))
+
+
+def _spread(n: Column, mean: Column, ddof: int) -> Column:
+    return F.when(F.size(n) > ddof, F.try_divide(total(n, lambda x: (x - mean) * (x - mean)), F.size(n) - ddof))
 
 
 @verb("variance")
@@ -270,11 +279,14 @@ def std_sample(array):
 @verb("quantile")
 def quantile(array, q):
     """Linear interpolation at q (n - 1)."""
-    n = F.array_sort(numbers(array))
-    at = num(q) * (F.size(n) - 1)
-    lo = F.floor(at).cast("int")
-    a, b = F.get(n, lo), F.get(n, F.ceil(at).cast("int"))
-    return F.when((num(q) >= 0) & (num(q) <= 1), a + (b - a) * (at - lo))
+
+    def between(n: Column) -> Column:
+        at = num(q) * (F.size(n) - 1)
+        lo = F.floor(at).cast("int")
+        a, b = F.get(n, lo), F.get(n, F.ceil(at).cast("int"))
+        return F.when((num(q) >= 0) & (num(q) <= 1), a + (b - a) * (at - lo))
+
+    return let(F.sort_array(numbers(array)), between)
 
 
 @verb("percentile")
@@ -290,33 +302,33 @@ def median(array):
 @verb("mode")
 def mode(array):
     """The most frequent number, the first seen of those."""
-    n = numbers(array)
-    counts = F.transform(F.array_distinct(n), lambda v, i: F.struct(F.size(F.filter(n, lambda x: x == v)).alias("n"), (-i).alias("i"), v.alias("v")))
-    return F.array_max(counts)["v"]
+    counts = lambda n: F.transform(F.array_distinct(n), lambda v, i: F.struct(F.size(F.filter(n, lambda x: x == v)).alias("n"), (-i).alias("i"), v.alias("v")))
+    return let(numbers(array), lambda n: F.array_max(counts(n))["v"])
 
 
-def _pair(xs, ys):
-    x, y = numbers(xs), numbers(ys)
-    n = F.least(F.size(x), F.size(y))
-    return F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), n
+def _pair(xs, ys, f) -> Column:
+    """f(x, y) of the numbers of both up to the shorter."""
+    same = lambda x, y: F.slice(x, F.lit(1), F.least(F.size(x), F.size(y)))
+    return let(numbers(xs), lambda x: let(numbers(ys), lambda y: let(same(x, y), lambda a: let(same(y, x), lambda b: f(a, b)))))
 
 
 @verb("covariance")
 def covariance(xs, ys):
-    x, y, n = _pair(xs, ys)
-    mx, my = F.try_divide(total(x), n), F.try_divide(total(y), n)
-    return F.try_divide(total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my))), n)
+    return _pair(xs, ys, _covariance)
+
+
+def _covariance(x: Column, y: Column) -> Column:
+    return let(_mean(x), lambda mx: let(_mean(y), lambda my: F.try_divide(total(F.zip_with(x, y, lambda a, b: (a - mx) * (b - my))), F.size(x))))
 
 
 @verb("correlation")
 def correlation(xs, ys):
-    x, y, _ = _pair(xs, ys)
-    return F.try_divide(covariance(x, y), std(x) * std(y))
+    return _pair(xs, ys, lambda x, y: F.try_divide(_covariance(x, y), std(x) * std(y)))
 
 
 @verb("zscore")
 def zscore(value, array):
-    return F.try_divide(num(value) - avg(array), std(array))
+    return let(numbers(array), lambda n: let(_mean(n), lambda m: F.try_divide(num(value) - m, F.sqrt(_spread(n, m, 0)))))
 
 
 @verb("clamp")
@@ -333,16 +345,15 @@ def interpolate(x, x1, y1, x2, y2):
 
 @verb("weightedAvg")
 def weighted_avg(values, weights):
-    v, w = F.transform(col(values), num), F.transform(col(weights), num)
-    return F.try_divide(total(F.zip_with(v, w, lambda a, b: a * b)), total(w))
+    return let(col(weights), lambda w: F.try_divide(total(F.zip_with(col(values), w, lambda a, b: num(a) * num(b))), total(w, num)))
 
 
 @verb("movingAvg")
 def moving_avg(array, window):
     """Trailing mean with a short head; what is no number counts as 0."""
     a, n = F.transform(col(array), lambda x: F.coalesce(num(x), F.lit(0.0))), int(value_of(window))
-    part = lambda i: F.slice(a, F.greatest(i + 2 - n, F.lit(1)), F.least(i + 1, F.lit(n)))
-    return F.transform(a, lambda x, i: total(part(i)) / F.least(i + 1, F.lit(n)))
+    part = lambda a, i: F.slice(a, F.greatest(i + 2 - n, F.lit(1)), F.least(i + 1, F.lit(n)))
+    return let(a, lambda a: F.transform(a, lambda x, i: total(part(a, i)) / F.least(i + 1, F.lit(n))))
 
 
 LOCALES = {"en-US": (",", "."), "en-GB": (",", "."), "de-DE": (".", ","), "es-ES": (".", ","), "fr-FR": (" ", ",")}
