@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .registry import col, value_of, verb
+from .registry import col, let, value_of, verb
 from .scalar import text
 
 
@@ -115,8 +115,10 @@ def hmac_udf(algorithm: str):
 
 @verb("hmac")
 def hmac(message, key, algorithm="sha256"):
-    """No built-in HMAC: an Arrow-batched function."""
+    """No built-in HMAC: an Arrow-batched function; of two constants, one value."""
     a = value_of(algorithm).lower().replace("-", "")
+    if isinstance(message, str) and isinstance(key, str) and a in ("sha1", "sha256", "sha512", "md5"):
+        return F.lit(_hmac.new(key.encode(), message.encode(), getattr(hashlib, a)).hexdigest())
     return hmac_udf(a)(text(message), text(key)) if a in ("sha1", "sha256", "sha512", "md5") else F.lit(None).cast("string")
 
 
@@ -129,8 +131,9 @@ def parse_query(s):
     """Sorted map of the first value of each key."""
     pairs = F.filter(F.split(F.regexp_replace(col(s), r"^\?", ""), "&"), lambda p: p != "")
     entry = F.transform(pairs, lambda p: F.struct(_plus(F.substring_index(p, "=", 1)).alias("key"), F.when(F.contains(p, F.lit("=")), _plus(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("value")))
-    keys = F.array_sort(F.array_distinct(F.transform(entry, lambda e: e["key"])))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(entry, lambda e: e["key"] == k), 1)["value"])))
+    keys = lambda entry: F.array_sort(F.array_distinct(F.transform(entry, lambda e: e["key"])))
+    first = lambda entry, k: F.element_at(F.filter(entry, lambda e: e["key"] == k), 1)["value"]
+    return let(entry, lambda entry: F.map_from_entries(F.transform(keys(entry), lambda k: F.struct(k, first(entry, k)))))
 
 
 def map_text(entries: Column) -> Column:

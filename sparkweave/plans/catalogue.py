@@ -33,13 +33,15 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def rows(name: str, table: str, keys: list[str], columns: Callable[[], dict], where: str | None = None, base: Callable[[DataFrame], DataFrame] | None = None, base_sql: str | None = None) -> None:
-    """A projection: columns() gives name -> (column, SQL)."""
+def rows(name: str, table: str, keys: list[str], columns: Callable[[], dict], where: str | None = None, base: Callable[[DataFrame], DataFrame] | None = None, base_sql: str | None = None, spread: bool = False) -> None:
+    """A projection: columns() gives name -> (column, SQL).  ``spread``: rows that take long for
+    their bytes are dealt out, so that a small file is not one task."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = read(spark, sf_dir, table)
         df = df.filter(where) if where else df
         df = base(df) if base else df
+        df = df.repartition(max(4 * spark.sparkContext.defaultParallelism, R.size_in_bytes(df) >> 22), *keys) if spread else df
         return df.select(*keys, *[x.alias(n) for n, (x, _) in columns().items()])
 
     QUERIES[name] = run

@@ -87,13 +87,13 @@ rows("objects", "customer", ["c_custkey"], lambda: {
     "query_": (v("buildQuery", F.create_map(F.lit("q"), F.concat(c("c_mktsegment"), F.lit(" &")), F.lit("id"), c("c_custkey").cast("string"))), "'id=' || c_custkey || '&q=' || c_mktsegment || '+%26'"), "query_back": (v("parseQuery", F.concat(F.lit("?b="), c("c_custkey").cast("string"), F.lit("&a=x%20y&b=2")))["b"], "c_custkey::varchar"),
     "url_": (v("buildUrl", F.struct(F.lit("https").alias("scheme"), F.lit("h.example").alias("host"), F.lit(8080).alias("port"), F.concat(F.lit("c/"), c("c_custkey").cast("string")).alias("path"), F.create_map(F.lit("s"), c("c_mktsegment")).alias("query"), F.lit("top").alias("fragment"))), "'https://h.example:8080/c/' || c_custkey || '?s=' || c_mktsegment || '#top'"),
     "mac": (v("hmac", "The quick brown fox jumps over the lazy dog", "key"), "'f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8'"), "mac_length": (i(F.length(v("hmac", c("c_name"), c("c_mktsegment"), "sha512"))), "128::bigint"), "set_": (v("set", c("c_name")), "c_name"),
-})
+}, spread=True)
 _FLOWS = lambda: F.array(-c("o_totalprice"), c("o_totalprice") * 1.1)
 _DATES = lambda: F.array(F.to_date("o_orderdate"), F.date_add(F.to_date("o_orderdate"), 365))
 rows("cash_flows", "orders", ["o_orderkey"], lambda: {
     "irr_": (r(v("irr", _FLOWS())), "0.1::double"), "xirr_": (r(v("xirr", _FLOWS(), _DATES())), "0.1::double"), "xnpv_": (r(v("xnpv", 0.05, _FLOWS(), _DATES()), 3), "round(-o_totalprice + o_totalprice * 1.1 / 1.05, 3)"),
     "rate_": (r(v("rate", 12, -v("pmt", c("o_totalprice"), 0.01, 12), c("o_totalprice"))), "0.01::double"), "irr3": (r(v("irr", F.array(-c("o_totalprice"), c("o_totalprice") * 0.0, c("o_totalprice") * 1.21))), "0.1::double"),
-})
+}, spread=True)
 rows("text_marks", "documents", ["doc_id"], lambda: {
     "plain": (v("md5", v("stripAccents", c("text"))), "md5(strip_accents(text))"), "unescaped": (v("md5", v("unescapeHtml", v("escapeHtml", c("text")))), "md5(text)"),
 })
